@@ -1,0 +1,4 @@
+"""The driver's queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
