@@ -4,13 +4,13 @@ maximal removal intervals.
 Words are the runs of bytes other than 20 and 09-0D (hex) of the UTF-8 text. A window is ``width`` consecutive words of
 one document. A word goes if a window covers it whose word sequence also starts in a document with a smaller doc_id.
 
-Plan. Each Arrow batch hashes its windows with two Rabin-Karp polynomials over 64-bit word hashes (80 bits are kept: at
-10^13 windows fewer than a hundred pairs are expected to collide). What a batch can decide it decides: of equal windows
-in it, only those of its smallest doc_id stay open, so a passage that a third of all documents share leaves a batch
-once. Open windows go out as packed arrays, one row for each batch and bucket of hashes. Every bucket, a slice of the
-hash range sized from the input's bytes, finds windows whose smallest doc_id is another and answers with positions.
-Answers are grouped by document and merged into intervals; they join the texts by broadcast if their counted bytes
-allow it, else by a shuffled join. Texts themselves are not shuffled below that size.
+Plan. A mapper gathers slices of documents and hashes their windows with two Rabin-Karp polynomials over 64-bit word
+hashes (80 bits are kept: at 10^13 windows fewer than a hundred pairs are expected to collide). What a slice can decide
+it decides: of equal windows in it, only those of its smallest doc_id stay open, so a passage that a third of all
+documents share leaves a slice once. Open windows go out as packed arrays, one row for each slice and bucket of hashes.
+Every bucket, a part of the hash range sized from the input's bytes, finds windows whose smallest doc_id is another and
+answers the slices with positions. A slice's answers merge into intervals for each of its texts, and a join on document
+and text hash brings them to the texts.
 
 Defined cases: null and empty texts have no words; documents of fewer words than a window lose nothing; rows with a null
 doc_id are kept whole and remove nothing elsewhere; rows with equal doc_id don't act on each other; repeated rows get the
@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,11 @@ WIDTH = 13
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words that a batch of the mapper gathers before it hashes and sends them.
 BATCH_WORDS = 1_000_000
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 
-_SENT = "bucket int, decided boolean, payload binary"
-_OPEN = "doc_id long, text_hash long, positions binary"
+_SENT = "bucket int, slice long, kind int, payload binary"
+#: Kinds of rows: open windows, windows that the slice has decided, the slice's table of texts.
+OPEN, DECIDED, TEXTS = 0, 1, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,37 +64,53 @@ def _hashes(digests: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _pack(h: np.ndarray, low: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> bytes:
-    """Hashes as they are (they don't compress); what addresses them as runs of documents and steps of position."""
-    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
-    runs = np.diff(np.r_[starts, len(doc)]).astype("<u4")
-    step = np.diff(pos, prepend=0).astype("<i4")
-    rest = b"".join(
-        (doc[starts].astype("<i8").tobytes(), key[starts].astype("<i8").tobytes(), runs.tobytes(), step.view("u1").reshape(-1, 4).T.tobytes())
-    )
-    head = np.array([len(h), len(starts)], "<u4").tobytes()
-    return head + h.astype("<u8").tobytes() + low.astype("<u2").tobytes() + zlib.compress(rest, 1)
+def _runs(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, "i8")
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+def _stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """[first, end) of the runs of equal values."""
+    starts = _runs(x)
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(x)] if len(x) else [], strict=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Steps between the values, byte by byte of significance, for the compressor."""
+    return np.diff(x, prepend=0).astype("<i8").view("u1").reshape(-1, 8).T.tobytes()
+
+
+def _values(raw: bytes, n: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(raw, "u1", 8 * n, at).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel(), dtype="i8")
+
+
+def _pack_places(row: np.ndarray, pos: np.ndarray) -> bytes:
+    """Places (row of the slice, position), in order, as runs of rows and steps of position."""
+    starts = _runs(row)
+    runs = np.diff(np.r_[starts, len(row)])
+    return np.array([len(row), len(starts)], "<u4").tobytes() + zlib.compress(_planes(row[starts]) + _planes(runs) + _planes(pos), 1)
+
+
+def _unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, m = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-    h, low = np.frombuffer(blob, "<u8", n, 8), np.frombuffer(blob, "<u2", n, 8 + 8 * n)
-    rest = zlib.decompress(blob[8 + 10 * n :])
-    runs = np.frombuffer(rest, "<u4", m, 16 * m)
-    doc, key = (np.repeat(np.frombuffer(rest, "<i8", m, at), runs) for at in (0, 8 * m))
-    planes = np.frombuffer(rest, "u1", 4 * n, 20 * m).reshape(4, n)
-    return h, low, doc, key, np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype="i8")
+    raw = zlib.decompress(blob[8:])
+    return np.repeat(_values(raw, m, 0), _values(raw, m, 8 * m)), _values(raw, n, 16 * m)
+
+
+def _pack(h: np.ndarray, low: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> bytes:
+    """Hashes as they are (they don't compress), the runs' doc_ids, and the places."""
+    ids = zlib.compress(_planes(doc[_runs(row)]), 1)
+    head = np.array([len(h), len(ids)], "<u4").tobytes()
+    return head + h.astype("<u8").tobytes() + low.astype("<u2").tobytes() + ids + _pack_places(row, pos)
 
 
-def _positions(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (doc_id, text_hash, window starts) out of parallel arrays."""
-    if not len(doc):
-        return
-    order = np.lexsort((pos, key, doc))
-    doc, key, pos = doc[order], key[order], pos[order]
-    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
-    for i, j in zip(starts, np.r_[starts[1:], len(doc)], strict=True):
-        yield int(doc[i]), int(key[i]), pos[i:j].astype("<u4").tobytes()
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    n, size = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    h, low = np.frombuffer(blob, "<u8", n, 8), np.frombuffer(blob, "<u2", n, 8 + 8 * n)
+    row, pos = _unpack_places(blob[8 + 10 * n + size :])
+    starts = _runs(row)
+    ids = _values(zlib.decompress(blob[8 + 10 * n : 8 + 10 * n + size]), len(starts), 0)
+    return h, low, np.repeat(ids, np.diff(np.r_[starts, len(row)])), row, pos
 
 
 def _later(h: np.ndarray, low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,32 +128,35 @@ def _later(h: np.ndarray, low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 
 
 def _sender(width: int, buckets: int):
-    def flush(docs: list[tuple[int, int]], parts: list[np.ndarray]) -> Iterator[dict]:
+    def flush(docs: list[tuple[int, int]], parts: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in parts])
         digests, ends = np.concatenate(parts), np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(parts)), sizes)
+        row = np.repeat(np.arange(len(parts)), sizes)
         pos = np.arange(len(digests)) - np.repeat(ends - sizes, sizes)
         h, low = _hashes(digests, width)
-        whole = np.flatnonzero(owner[: len(h)] == owner[width - 1 :])
-        h, low, owner, pos = h[whole], (low[whole] >> np.uint64(48)).astype("u2"), owner[whole], pos[whole]
-        ids, keys = (np.array([x[i] for x in docs], "i8") for i in (0, 1))
-        doc, key = ids[owner], keys[owner]
+        whole = np.flatnonzero(row[: len(h)] == row[width - 1 :])
+        h, low, row, pos = h[whole], (low[whole] >> np.uint64(48)).astype("u2"), row[whole], pos[whole]
+        texts = np.array(docs, "<i8")
+        doc = texts[:, 0][row]
         some, later = _later(h, low, doc)
-        gone = some[later]
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("u4")
-        for d, k, at in _positions(doc[gone], key[gone], pos[gone]):
-            yield {"bucket": (d ^ k) % buckets, "decided": True, "payload": np.array([d, k], "<i8").tobytes() + at}
+        gone = np.sort(some[later])
+        # the same slice twice, in a table that repeats, has the same name and the same answers
+        name = xxhash.xxh3_64_intdigest(texts.tobytes()) - (1 << 63)
+        out = [(name % buckets, name, TEXTS, texts.tobytes())]
+        if len(gone):
+            out.append((name % buckets, name, DECIDED, _pack_places(row[gone], pos[gone])))
         keep = np.ones(len(h), bool)
         keep[gone] = False
         at = np.flatnonzero(keep)
-        at = at[np.argsort(bucket[at].astype("u2") if buckets < 1 << 16 else bucket[at], kind="stable")]
-        cut = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1]]) if len(at) else []
-        for i, j in zip(cut, [*cut[1:], len(at)], strict=True):
+        bucket = ((h[at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("u4")
+        order = np.argsort(bucket.astype("u2") if buckets < 1 << 16 else bucket, kind="stable")
+        at, bucket = at[order], bucket[order]
+        for i, j in _stretches(bucket):
             x = at[i:j]
-            yield {"bucket": int(bucket[x[0]]), "decided": False, "payload": _pack(h[x], low[x], doc[x], key[x], pos[x])}
+            out.append((int(bucket[i]), name, OPEN, _pack(h[x], low[x], doc[x], row[x], pos[x])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "slice", "kind", "payload"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), ("payload", pa.binary())])
         docs, parts, n = [], [], 0
         digest = xxhash.xxh3_128_digest
         for batch in batches:
@@ -146,58 +167,80 @@ def _sender(width: int, buckets: int):
                     parts.append(np.frombuffer(b"".join(map(digest, words)), "<u8").reshape(-1, 2))
                     n += len(words)
                 if n >= BATCH_WORDS:
-                    yield pa.RecordBatch.from_pylist(list(flush(docs, parts)), schema)
+                    yield flush(docs, parts)
                     docs, parts, n = [], [], 0
         if docs:
-            yield pa.RecordBatch.from_pylist(list(flush(docs, parts)), schema)
+            yield flush(docs, parts)
 
     return rows
 
 
-def _receiver(bucket):
-    """One bucket: the windows that another document with a smaller doc_id has too, by document."""
-    import pandas as pd
+def _receiver(bucket: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: for each slice the places of windows that another document with a smaller doc_id has too.
 
-    out = [(*np.frombuffer(x, "<i8", 2).tolist(), x[16:]) for x in bucket.loc[bucket["decided"], "payload"]]
-    packed = [_unpack(x) for x in bucket.loc[~bucket["decided"], "payload"]]
+    Rows that are no open windows pass.
+    """
+    passed = bucket["kind"] != OPEN
+    out = list(bucket.loc[passed, ["slice", "kind", "payload"]].itertuples(index=False, name=None))
+    names = bucket.loc[~passed, "slice"].to_numpy()
+    packed = [_unpack(x) for x in bucket.loc[~passed, "payload"]]
     if packed:
-        h, low, doc, key, pos = (np.concatenate(x) for x in zip(*packed, strict=True))
+        sizes = [len(x[0]) for x in packed]
+        h, low, doc, row, pos = (np.concatenate(x) for x in zip(*packed, strict=True))
         del packed
         some, later = _later(h, low, doc)
-        gone = some[later]
-        out += _positions(doc[gone], key[gone], pos[gone])
-    return pd.DataFrame(out, columns=["doc_id", "text_hash", "positions"])
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, starts): for each text that loses words, packed starts of its repeated windows."""
+        gone = np.sort(some[later])
+        of = np.repeat(np.arange(len(sizes)), sizes)[gone]
+        for i, j in _stretches(of):
+            out.append((names[of[i]], DECIDED, _pack_places(row[gone[i:j]], pos[gone[i:j]])))
+    return pd.DataFrame(out, columns=["slice", "kind", "payload"])
+
+
+def _merger(width: int):
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        """One slice: for each text that loses words, its maximal removal intervals."""
+        texts = np.frombuffer(part.loc[part["kind"] == TEXTS, "payload"].iloc[0], "<i8").reshape(-1, 2)
+        places = [_unpack_places(x) for x in part.loc[part["kind"] == DECIDED, "payload"]]
+        out = []
+        if places:
+            row, pos = (np.concatenate(x) for x in zip(*places, strict=True))
+            order = np.lexsort((pos, row))
+            row, pos = row[order], pos[order]
+            new = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + width)]
+            first = np.flatnonzero(new)
+            spans = np.stack([pos[first], pos[np.r_[first[1:], len(pos)] - 1] + width], axis=1)
+            row = row[first]
+            out = [(int(texts[row[i], 0]), int(texts[row[i], 1]), spans[i:j].astype("<u4").tobytes()) for i, j in _stretches(row)]
+        return pd.DataFrame(out, columns=["doc_id", "text_hash", "spans"])
+
+    return merge
+
+
+def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_hash, spans): for each text that loses words, packed [first, end) intervals of words."""
     n = common.partitions(docs)
     buckets = max(2 * n, common.input_bytes(docs) // BUCKET_BYTES)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     sent = texts.mapInArrow(_sender(width, buckets), _SENT).repartition(n, "bucket")
-    found = sent.groupBy("bucket").applyInPandas(_receiver, _OPEN)
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list("positions").alias("starts"))
+    told = sent.groupBy("bucket").applyInPandas(_receiver, "slice long, kind int, payload binary")
+    found = told.groupBy("slice").applyInPandas(_merger(width), "doc_id long, text_hash long, spans binary")
+    return found.dropDuplicates(["doc_id", "text_hash"])
 
 
-def kept_mask(n_words: int, starts: list[bytes] | None, width: int) -> np.ndarray | None:
-    """Which words stay, None for all; the windows' starts merge into maximal intervals."""
-    if not starts:
-        return None
-    at = np.concatenate([np.frombuffer(x, "<u4") for x in starts]).astype("i8")
-    edge = np.zeros(n_words + 1, "i4")
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + width, n_words), -1)
-    return np.cumsum(edge[:-1]) == 0
+def kept(words: list[bytes], spans: bytes | None) -> list[bytes]:
+    """The words outside all intervals."""
+    if not spans:
+        return words
+    out, last = [], 0
+    for i, j in np.frombuffer(spans, "<u4").reshape(-1, 2).tolist():
+        out += words[last:i]
+        last = j
+    return out + words[last:]
 
 
 def _with_removals(docs: DataFrame, width: int) -> DataFrame:
-    """docs with __starts: their repeated windows, or null."""
-    found = common.written(repeated_windows(docs, width), "repeated-windows").select(
-        F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("starts").alias("__starts")
-    )
-    size = found.agg(F.sum(F.aggregate("__starts", F.lit(0).cast("long"), lambda s, x: s + F.length(x)) + 48)).first()[0] or 0
-    if size <= common.BROADCAST_BYTES:
-        found = F.broadcast(found)
+    """docs with __spans: their intervals, or null."""
+    found = common.written(removals(docs, width), "removals").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("spans").alias("__spans"))
     on = (docs["doc_id"].cast("long") == found["__doc_id"]) & (F.xxhash64(docs["text"]) == found["__text_hash"])
     return docs.join(found, on, "left").drop("__doc_id", "__text_hash")
 
@@ -208,12 +251,11 @@ def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def rows(batches):
         for batch in batches:
             ids, out = [], []
-            for d, text, starts in zip(batch["doc_id"], batch["text"], batch["__starts"], strict=True):
+            for d, text, spans in zip(batch["doc_id"], batch["text"], batch["__spans"], strict=True):
                 words = words_of(text.as_py())
-                keep = kept_mask(len(words), starts.as_py(), width)
-                kept = words if keep is None else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                left = kept(words, spans.as_py())
                 ids.append(d.as_py())
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                out.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -228,12 +270,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def rows(batches):
         for batch in batches:
             texts = []
-            for text, starts in zip(batch["text"], batch["__starts"], strict=True):
+            for text, spans in zip(batch["text"], batch["__spans"], strict=True):
                 t = text.as_py()
-                if starts.as_py():
-                    words = words_of(t)
-                    keep = kept_mask(len(words), starts.as_py(), width)
-                    t = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode("utf-8", "surrogatepass")
+                if spans.as_py():
+                    t = b" ".join(kept(words_of(t), spans.as_py())).decode("utf-8", "surrogatepass")
                 texts.append(t)
             at = [f.name for f in schema].index("text")
             cols = [batch.column(i) for i in range(len(schema))]
