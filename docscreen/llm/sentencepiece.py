@@ -122,10 +122,10 @@ def encoded_words(words: DataFrame, model: str = MODEL) -> DataFrame:
     rows = piece_rows(model)
     pieces = spark.createDataFrame(rows, "piece string, id int, score double")
     short = words.where(F.length("word") <= LONGEST).repartition("word")  # so the edges of a word are where it is
-    folded = merged(lattice(short, pieces, max(len(r[0]) for r in rows)), byte_base(model))
-    bare = short.join(folded, "word", "left")  # a word of characters without any piece has no edge
-    told = bare.where("ids is not null")
-    other = bare.where("ids is null").select("word").unionByName(words.where(F.length("word") > LONGEST).select("word"))
+    # written before it is filtered: a predicate on ids would be pushed below the fold and evaluate it for each element
+    folded = common.written(merged(lattice(short, pieces, max(len(r[0]) for r in rows)), byte_base(model)), "folded-words")
+    told = folded.where("ids is not null")
+    other = words.join(told.select("word"), "word", "left_anti")  # marked, long, or of characters without any piece
     return told.unionByName(other.mapInArrow(_by_library(model), "word string, ids array<int>"))
 
 
