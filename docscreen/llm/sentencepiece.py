@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from docscreen.llm import common
 
 MODEL, SPACE, LONGEST, HOT = "piece_bpe_32k.model", "▁", 60, 100_000
+#: Words whose lattices a task groups and folds at a time.
+TASK_WORDS = 10_000
 
 
 @functools.cache
@@ -121,9 +123,12 @@ def encoded_words(words: DataFrame, model: str = MODEL) -> DataFrame:
     spark = words.sparkSession
     rows = piece_rows(model)
     pieces = spark.createDataFrame(rows, "piece string, id int, score double")
-    short = words.where(F.length("word") <= LONGEST).repartition("word")  # so the edges of a word are where it is
+    short = words.where(F.length("word") <= LONGEST)
+    # hashed by word, so a word's edges are grouped where they are made; so few words to a task that groups fit its map
+    short = short.repartition(max(1, -(-short.count() // TASK_WORDS)), "word")
     # written before it is filtered: a predicate on ids would be pushed below the fold and evaluate it for each element
-    folded = common.written(merged(lattice(short, pieces, max(len(r[0]) for r in rows)), byte_base(model)), "folded-words")
+    with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_WORDS)):
+        folded = common.written(merged(lattice(short, pieces, max(len(r[0]) for r in rows)), byte_base(model)), "folded-words")
     told = folded.where("ids is not null")
     other = words.join(told.select("word"), "word", "left_anti")  # marked, long, or of characters without any piece
     return told.unionByName(other.mapInArrow(_by_library(model), "word string, ids array<int>"))
