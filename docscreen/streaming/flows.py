@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from docscreen.sources import ingest
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def process(spark: SparkSession, folder: str, sink: str, checkpoint: str, screen: Callable[[DataFrame], DataFrame]):
     """Screens the files of a folder as they come. The checkpoint remembers what is done, and each micro-batch writes
     its own folder by overwriting it, so a restart repeats nothing and loses nothing. Faulty files become rows with an
     error."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(folder)
 
     def each(batch: DataFrame, number: int) -> None:
         rows = ingest.accepted(ingest.identified(batch))
