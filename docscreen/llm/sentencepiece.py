@@ -24,10 +24,13 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import repeat
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscreen.llm import common
@@ -59,9 +62,11 @@ def words_of(text: str | None) -> list[str]:
     """A text's words: spaces as U+2581, one in front; a border before each run of them."""
     if not text:
         return []
-    parts = (SPACE + text.replace(" ", SPACE)).split(SPACE)
+    parts = text.replace(" ", SPACE).split(SPACE)
+    if all(parts):
+        return [SPACE + p for p in parts]
     out, lead = [], 0
-    for p in parts[1:]:
+    for p in parts:
         lead += 1
         if p:
             out.append(SPACE * lead + p)
@@ -69,30 +74,72 @@ def words_of(text: str | None) -> list[str]:
     return [*out, SPACE * lead] if lead else out
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): the pieces that match a word's substrings, as structs (rank, s, e, id, both, inside) in the order
-    of merges.
+def scored_edge() -> Column:
+    """An edge for Viterbi: its score and its ends."""
+    return F.struct("score", "s", "e", "id")
+
+
+def ranked_edge() -> Column:
+    """An edge for merges in one long: from the top its rank, both ends and its id, each in its bits, then whether it is
+    risky. Longs sort as the merges come, and a long costs a task far less than a struct."""
+    return F.expr(f"shiftleft(cast(rank AS bigint), {_RANK}) | shiftleft(cast(s AS bigint), {_START}) | shiftleft(cast(e AS bigint), {_END}) | shiftleft(cast(id AS bigint), 1) | risky")
+
 
-    rank is the score's negative; both has the bits of the edge's ends, inside those of the borders between them. words is distinct in its column word; pieces has piece, id, score.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
+    """(word, edges): the pieces that match a word's substrings, as sorted values of edge; a word without any has none.
+
+    words is distinct in its column word; pieces has piece, id and what edge needs beside s and e.
     """
     n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
+    # each word's first span is empty and joins to an empty piece, whose edge is null and not collected: no word is lost
+    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
     subs = spans.select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("word", F.col("s") + 1, F.col("l")).alias("piece"))
-    edges = subs.join(F.broadcast(pieces), "piece").select("word", F.struct((-F.col("score")).alias("rank"), "s", "e", "id", F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("both"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inside")).alias("x"))
+    empty = pieces.sparkSession.createDataFrame([("",)], "piece string")
+    table = pieces.unionByName(empty, allowMissingColumns=True)
+    edges = subs.join(F.broadcast(table), "piece").select("word", F.when(F.col("id").isNotNull(), edge).alias("x"))
     return edges.groupBy("word").agg(F.sort_array(F.collect_list("x")).alias("edges"))
 
 
-_CAN = "(({m} & y.both) = y.both AND bit_count({m} & y.inside) = 1)"
+def ranked(rows: list[tuple[str, int, float]]) -> list[tuple[str, int, int, int]]:
+    """(piece, id, rank, risky): ranks count the scores from the best; a piece is risky if one that merges no later
+    begins or ends with it, for then its merge can make an edge possible that should have come before."""
+    rank = {x: k for k, x in enumerate(sorted({-r[2] for r in rows}))}
+    of = {p: rank[-score] for p, _, score in rows}
+    risky = {y for z, r in of.items() for k in range(1, len(z)) for y in (z[:k], z[k:]) if of.get(y, -1) >= r}
+    if max(len(rank), max(r[1] for r in rows)) >= 1 << 20:
+        raise ValueError("an edge has 20 bits for a rank and an id")
+    return [(p, i, of[p], int(p in risky)) for p, i, _ in rows]
+
+
+_RANK, _START, _END = 33, 27, 21
 
 
 def merged(lattices: DataFrame, base: int) -> DataFrame:
-    """(word, ids, marked) by BPE merges; ids is null for marked words."""
-    after = "(a.m & ~y.inside)"
-    sooner = f"exists(ys, z -> (z.s = y.s OR z.e = y.e) AND (z.rank < y.rank OR (z.rank = y.rank AND (z.s < y.s OR (z.s = y.s AND z.e < y.e)))) AND ({after} & z.both) = z.both AND bit_count({after} & z.inside) = 1)"
-    fold = f"aggregate(ys, struct(shiftleft(1L, length(word) + 1) - 1 AS m, false AS marked), (a, y) -> CASE WHEN {_CAN.format(m='a.m')} THEN struct({after} AS m, a.marked OR {sooner} AS marked) ELSE a END)"
+    """(word, ids, marked) by BPE merges over ranked edges; ids is null for marked words."""
+
+    def start(y: str) -> str:
+        return f"cast(shiftright({y}, {_START}) & 63 AS int)"
+
+    def end(y: str) -> str:
+        return f"cast(shiftright({y}, {_END}) & 63 AS int)"
+
+    def both(y: str) -> str:
+        return f"(shiftleft(1L, {start(y)}) | shiftleft(1L, {end(y)}))"
+
+    def inside(y: str) -> str:
+        return f"(shiftleft(1L, {end(y)}) - shiftleft(2L, {start(y)}))"
+
+    def can(m: str, y: str) -> str:
+        return f"(bit_count({m} & {inside(y)}) = 1 AND ({m} & {both(y)}) = {both(y)})"
+
+    after = f"(a.m & ~{inside('y')})"
+    # edges sort by rank, start and end before anything else, so a smaller one should have come before
+    sooner = f"(y & 1) = 1 AND exists(ys, z -> z < y AND ({start('z')} = {start('y')} OR {end('z')} = {end('y')}) AND {can(after, 'z')})"
+    fold = f"aggregate(ys, struct(shiftleft(1L, length(word) + 1) - 1 AS m, false AS marked), (a, y) -> CASE WHEN {can('a.m', 'y')} THEN struct({after} AS m, a.marked OR ({sooner}) AS marked) ELSE a END)"
     done = lattices.select("word", F.col("edges").alias("ys")).withColumn("a", F.expr(fold))
-    pieces = "transform(filter(ys, y -> (a.m & y.both) = y.both AND (a.m & y.inside) = 0), y -> struct(y.s AS s, array(y.id) AS ids))"
-    chars = "filter(sequence(0, length(word) - 1), s -> (a.m & shiftleft(3L, s)) = shiftleft(3L, s) AND NOT exists(ys, y -> y.s = s AND y.e = s + 1))"
+    ids_of = "cast(shiftright(y, 1) & 1048575 AS int)"
+    pieces = f"transform(filter(ys, y -> (a.m & {inside('y')}) = 0 AND (a.m & {both('y')}) = {both('y')}), y -> struct({start('y')} AS s, array({ids_of}) AS ids))"
+    chars = f"filter(sequence(0, length(word) - 1), s -> (a.m & shiftleft(3L, s)) = shiftleft(3L, s) AND NOT exists(ys, y -> {start('y')} = s AND {end('y')} = s + 1))"
     encoded = "hex(encode(substring(word, s + 1, 1), 'UTF-8'))"
     missing = f"transform({chars}, s -> struct(s AS s, transform(sequence(0, length({encoded}) div 2 - 1), k -> cast(conv(substring({encoded}, 2 * k + 1, 2), 16, 10) AS int) + {base}) AS ids))"
     ids = F.expr(f"flatten(transform(sort_array(concat({pieces}, {missing})), t -> t.ids))")
@@ -101,8 +148,8 @@ def merged(lattices: DataFrame, base: int) -> DataFrame:
 
 def viterbi(lattices: DataFrame, unknown: int, penalty: float = 10.0) -> DataFrame:
     """(word, ids) by the greatest sum of scores; a character that no piece covers costs the worst score and penalty."""
-    ready = lattices.withColumn("worst", F.expr(f"aggregate(edges, 0D, (w, x) -> least(w, -x.rank)) - {penalty}D"))
-    edges = f"concat(transform(filter(edges, x -> x.e = i), x -> struct(cast(-x.rank AS double) AS w, x.s AS s, x.id AS id)), IF(exists(edges, x -> x.s = i - 1 AND x.e = i), array(), array(struct(worst AS w, i - 1 AS s, {unknown} AS id))))"
+    ready = lattices.withColumn("worst", F.expr(f"aggregate(edges, 0D, (w, x) -> least(w, cast(x.score AS double))) - {penalty}D"))
+    edges = f"concat(transform(filter(edges, x -> x.e = i), x -> struct(cast(x.score AS double) AS w, x.s AS s, x.id AS id)), IF(exists(edges, x -> x.s = i - 1 AND x.e = i), array(), array(struct(worst AS w, i - 1 AS s, {unknown} AS id))))"
     step = f"array_append(best, array_max(transform({edges}, t -> struct(best[t.s].w + t.w AS w, concat(best[t.s].ids, array(t.id)) AS ids))))"
     fold = f"aggregate(sequence(1, length(word)), array(struct(0D AS w, cast(array() AS array<int>) AS ids)), (best, i) -> {step})"
     return ready.select("word", F.expr(f"element_at({fold}, -1).ids").alias("ids"))
@@ -121,17 +168,16 @@ def _by_library(model: str):
 def encoded_words(words: DataFrame, model: str = MODEL) -> DataFrame:
     """(word, ids) of distinct words."""
     spark = words.sparkSession
-    rows = piece_rows(model)
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double")
+    rows = ranked(piece_rows(model))
+    pieces = spark.createDataFrame(rows, "piece string, id int, rank int, risky int")
     short = words.where(F.length("word") <= LONGEST)
     # hashed by word, so a word's edges are grouped where they are made; so few words to a task that groups fit its map
     short = short.repartition(max(1, -(-short.count() // TASK_WORDS)), "word")
     # written before it is filtered: a predicate on ids would be pushed below the fold and evaluate it for each element
     with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_WORDS)):
-        folded = common.written(merged(lattice(short, pieces, max(len(r[0]) for r in rows)), byte_base(model)), "folded-words")
-    told = folded.where("ids is not null")
-    other = words.join(told.select("word"), "word", "left_anti")  # marked, long, or of characters without any piece
-    return told.unionByName(other.mapInArrow(_by_library(model), "word string, ids array<int>"))
+        folded = common.written(merged(lattice(short, pieces, max(len(r[0]) for r in rows), ranked_edge()), byte_base(model)), "folded-words")
+    other = words.where(F.length("word") > LONGEST).unionByName(folded.where("ids is null").select("word"))
+    return folded.where("ids is not null").unionByName(other.mapInArrow(_by_library(model), "word string, ids array<int>"))
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,39 +237,58 @@ def weight(ids) -> int:
 
 def _weighed(model: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(_by_id(model), pa.string())
         for batch in batches:
-            words, ids = batch["word"].to_pylist(), batch["ids"].to_pylist()
-            n = pa.array([len(i) for i in ids], pa.int64())
-            # in the middle of a text a word keeps its first space
-            ok = pa.array([" " + decoded(i, model) == w.replace(SPACE, " ") for w, i in zip(words, ids, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch["word"], n, pa.array([weight(i) for i in ids], pa.int64()), ok], names=["word", "n", "weight", "ok"])
+            if not len(batch):
+                continue
+            words, lists = batch["word"], batch["ids"]
+            flat = lists.flatten()
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("i8")
+            begin = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
+            total = np.concatenate([[0], np.cumsum((64 * flat.to_numpy(zero_copy_only=False).astype("i8") + place + 1) % MODULUS)])
+            weights = (total[begin[1:]] - total[begin[:-1]]) % MODULUS
+            # in the middle of a text a word keeps its first space; words with byte pieces differ here and are decoded
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pieces.take(flat)), "")
+            ok = pc.equal(joined, words).to_numpy(zero_copy_only=False).copy()
+            for i in np.flatnonzero(~ok):
+                ok[i] = " " + decoded(lists[i].as_py(), model) == words[i].as_py().replace(SPACE, " ")
+            yield pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(weights), pa.array(ok)], names=["word", "n", "weight", "ok"])
 
     return rows
 
 
 def _hot_part(hot):
-    """A row for each text with what its hot words add, and one for each occurrence of another word."""
+    """A row for each text with what its hot words add (head), and one for each occurrence of another word."""
+    head = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("ok", pa.bool_())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        names, types = ["doc_id", "t", "word", "place", "n", "digest", "ok"], (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        at, n, weights, ok = hot.value
+
+        def out():
+            words = pa.array(cold + [f"\x00{k}" for k in keys], pa.string())
+            key = np.concatenate([np.repeat(np.array(keys, "i8"), sizes), np.array(keys, "i8")])
+            place = np.concatenate([*places, np.zeros(len(keys), "i8")])
+            return pa.RecordBatch.from_arrays([pa.array(key), words, pa.array(place), pa.array([None] * len(cold) + heads, head)], names=["k", "w", "place", "head"])
+
+        cold, keys, sizes, places, heads = [], [], [], [], []
         for batch in batches:
-            out = []
-            for d, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
-                d, t = d.as_py(), t.as_py()
-                n, digest, good = 0, 0, True
-                for place, w in enumerate(words_of(text.as_py())):
-                    if w in known:
-                        k, weigh, ok = known[w]
-                        n, digest, good = n + k, digest + (place + 1) * weigh, good and ok
-                    else:
-                        out.append((d, t, w, place, None, None, None))
-                out.append((d, t, None, None, n, digest % MODULUS, good))
-                if len(out) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            for d, k, text in zip(batch["doc_id"], batch["k"], batch["text"], strict=True):
+                words = words_of(text.as_py())
+                i = np.fromiter(map(at.get, words, repeat(-1)), "i4", len(words))
+                known, other = np.flatnonzero(i >= 0), np.flatnonzero(i < 0)
+                j = i[known]
+                digest = int(((known + 1) % MODULUS * weights[j] % MODULUS).sum()) % MODULUS
+                heads.append((d.as_py(), int(n[j].sum()), digest, bool(ok[j].all())))
+                keys.append(k.as_py())
+                sizes.append(len(other))
+                places.append(other + 1)
+                cold += [words[x] for x in other]
+                if len(cold) > 100_000:
+                    yield out()
+                    cold, keys, sizes, places, heads = [], [], [], [], []
+        if keys:
+            yield out()
 
     return rows
 
@@ -233,22 +298,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
-    """doc_id, n_tokens, digest, round_trip of every row, from the encoding of the corpus's words."""
+    """doc_id, n_tokens, digest, round_trip of every row, from the encoding of the corpus's words.
+
+    A row's key is a 64-bit hash of doc_id and text; rows with equal keys and different doc_ids or hot words fail the
+    query rather than mix (expected once in some 10^10 documents).
+    """
     spark = docs.sparkSession
     known = common.written(vocabulary(docs), "words")
     codes = common.written(encoded_words(known.select("word"), model).mapInArrow(_weighed(model), "word string, n long, weight long, ok boolean"), "word-codes")
     top = known.orderBy(F.desc("n"), "word").limit(hot).select("word").join(codes, "word").collect()  # ``hot`` rows at most
-    held = spark.sparkContext.broadcast({r["word"]: (r["n"], r["weight"], r["ok"]) for r in top})
-    parts = _keyed(docs).mapInArrow(_hot_part(held), "doc_id long, t long, word string, place long, n long, digest long, ok boolean")
-    # One pass: rows of texts and of occurrences go through one join; texts have no word and so no partner.
-    c = codes.select(F.col("word").alias("w"), F.col("n").alias("wn"), F.col("weight"), F.col("ok").alias("wok"))
-    spread = F.coalesce("word", F.concat(F.lit("\x00"), F.col("t").cast("string")))  # null words would meet in one task
-    both = parts.withColumn("k", spread).join(c, F.col("k") == F.col("w"), "left")
-    term = F.coalesce("digest", ((F.col("place") + 1) % MODULUS) * F.col("weight") % MODULUS)
-    sums = both.select("doc_id", "t", F.coalesce("n", "wn").alias("n"), term.alias("d"), F.coalesce("ok", "wok").alias("ok"), F.col("word").isNull().cast("long").alias("texts"))
-    out = sums.groupBy("doc_id", "t").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.min("ok").alias("ok"), F.sum("texts").alias("texts"))
+    held = spark.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(top)}, np.array([r["n"] for r in top], "i8"), np.array([r["weight"] for r in top], "i8"), np.array([r["ok"] for r in top], bool)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("k"), "text")
+    parts = rows.mapInArrow(_hot_part(held), "k long, w string, place long, head struct<doc_id: long, n: long, digest: long, ok: boolean>")
+    # One pass: rows of texts and of occurrences go through one join; texts' words are no words and have no partner. The
+    # side of the codes has a word once, so a task's share of it is bounded and makes the hash table.
+    both = parts.join(codes.select(F.col("word").alias("w"), "n", "weight", "ok").hint("shuffle_hash"), "w", "left")
+    n, ok = F.coalesce("head.n", "n"), F.coalesce("head.ok", "ok")
+    term = F.coalesce("head.digest", F.col("place") % MODULUS * F.col("weight") % MODULUS)
+    sums = both.select("k", n.alias("n"), term.alias("d"), ok.alias("ok"), "head.doc_id", F.hash("head").alias("h"), F.col("head").isNotNull().cast("long").alias("text"))
+    h = F.when(F.col("text") == 1, F.col("h"))
+    out = sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.min("ok").alias("ok"), F.sum("text").alias("texts"), F.max("doc_id").alias("doc_id"), F.min(h).alias("least"), F.max(h).alias("most"))
+    texts = F.when(F.col("least") == F.col("most"), F.col("texts")).otherwise(F.raise_error(F.lit("two different rows share a key")).cast("long"))
     # rows with equal doc_id and text add up to a multiple of one
-    once = out.select("doc_id", F.expr("n div texts").alias("n_tokens"), F.expr(f"d div texts % {MODULUS}").alias("digest"), F.col("ok").alias("round_trip"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("texts"))).alias("i"))
+    once = out.withColumn("texts", texts).select("doc_id", F.expr("n div texts").alias("n_tokens"), F.expr(f"d div texts % {MODULUS}").alias("digest"), F.col("ok").alias("round_trip"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("texts"))).alias("i"))
     return once.drop("i")
 
 

@@ -186,7 +186,7 @@ def test_viterbi_takes_the_best_sum(spark):
     pieces = [("▁", 1, -2.0), ("a", 2, -1.0), ("b", 3, -1.0), ("ab", 4, -1.5), ("▁a", 5, -0.1), ("bc", 6, -9.0)]
     table = spark.createDataFrame(pieces, "piece string, id int, score double")
     words = spark.createDataFrame([("▁ab",), ("▁abc",), ("▁b",)], "word string")
-    got = {r.word: r.ids for r in sentencepiece.viterbi(sentencepiece.lattice(words, table, 4), 0).collect()}
+    got = {r.word: r.ids for r in sentencepiece.viterbi(sentencepiece.lattice(words, table, 4, sentencepiece.scored_edge()), 0).collect()}
     assert got == {"▁ab": [5, 3], "▁abc": [5, 6], "▁b": [1, 3]}
 
 
