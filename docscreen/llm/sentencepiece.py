@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docscreen.llm import common
 
-MODEL, SPACE, LONGEST, HOT = "piece_bpe_32k.model", "▁", 60, 100_000
+MODEL, SPACE, LONGEST, HOT = "piece_bpe_32k.model", "▁", 60, 250_000
 #: Words whose lattices a task groups and folds at a time.
 TASK_WORDS = 10_000
 
@@ -96,7 +96,11 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column) ->
     subs = spans.select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("word", F.col("s") + 1, F.col("l")).alias("piece"))
     empty = pieces.sparkSession.createDataFrame([("",)], "piece string")
     table = pieces.unionByName(empty, allowMissingColumns=True)
-    edges = subs.join(F.broadcast(table), "piece").select("word", F.when(F.col("id").isNotNull(), edge).alias("x"))
+    # A long key makes the fast kind of hash table. Strings that begin with each other are equal; written as an equation
+    # that would become a second key and the slow kind again.
+    table = table.withColumnRenamed("piece", "known").withColumn("key", F.xxhash64("known"))
+    same = (F.xxhash64("piece") == F.col("key")) & F.col("piece").startswith(F.col("known")) & F.col("known").startswith(F.col("piece"))
+    edges = subs.join(F.broadcast(table), same).select("word", F.when(F.col("id").isNotNull(), edge).alias("x"))
     return edges.groupBy("word").agg(F.sort_array(F.collect_list("x")).alias("edges"))
 
 
@@ -111,7 +115,7 @@ def ranked(rows: list[tuple[str, int, float]]) -> list[tuple[str, int, int, int]
     return [(p, i, of[p], int(p in risky)) for p, i, _ in rows]
 
 
-_RANK, _START, _END = 33, 27, 21
+_RANK, _START, _END, _MARK = 33, 27, 21, 1 << 62
 
 
 def merged(lattices: DataFrame, base: int) -> DataFrame:
@@ -132,18 +136,19 @@ def merged(lattices: DataFrame, base: int) -> DataFrame:
     def can(m: str, y: str) -> str:
         return f"(bit_count({m} & {inside(y)}) = 1 AND ({m} & {both(y)}) = {both(y)})"
 
-    after = f"(a.m & ~{inside('y')})"
-    # edges sort by rank, start and end before anything else, so a smaller one should have come before
+    # The fold's state is the mask; bit 62, which no border of a short word has, marks it. Edges sort by rank, start and
+    # end before anything else, so a smaller one should have come before.
+    after = f"(m & ~{inside('y')})"
     sooner = f"(y & 1) = 1 AND exists(ys, z -> z < y AND ({start('z')} = {start('y')} OR {end('z')} = {end('y')}) AND {can(after, 'z')})"
-    fold = f"aggregate(ys, struct(shiftleft(1L, length(word) + 1) - 1 AS m, false AS marked), (a, y) -> CASE WHEN {can('a.m', 'y')} THEN struct({after} AS m, a.marked OR ({sooner}) AS marked) ELSE a END)"
-    done = lattices.select("word", F.col("edges").alias("ys")).withColumn("a", F.expr(fold))
+    fold = f"aggregate(ys, shiftleft(1L, length(word) + 1) - 1, (m, y) -> IF({can('m', 'y')}, {after} | IF({sooner}, {_MARK}, 0L), m))"
+    done = lattices.select("word", F.col("edges").alias("ys")).withColumn("m", F.expr(fold))
     ids_of = "cast(shiftright(y, 1) & 1048575 AS int)"
-    pieces = f"transform(filter(ys, y -> (a.m & {inside('y')}) = 0 AND (a.m & {both('y')}) = {both('y')}), y -> struct({start('y')} AS s, array({ids_of}) AS ids))"
-    chars = f"filter(sequence(0, length(word) - 1), s -> (a.m & shiftleft(3L, s)) = shiftleft(3L, s) AND NOT exists(ys, y -> {start('y')} = s AND {end('y')} = s + 1))"
+    pieces = f"transform(filter(ys, y -> (m & {inside('y')}) = 0 AND (m & {both('y')}) = {both('y')}), y -> struct({start('y')} AS s, array({ids_of}) AS ids))"
+    chars = f"filter(sequence(0, length(word) - 1), s -> (m & shiftleft(3L, s)) = shiftleft(3L, s) AND NOT exists(ys, y -> {start('y')} = s AND {end('y')} = s + 1))"
     encoded = "hex(encode(substring(word, s + 1, 1), 'UTF-8'))"
     missing = f"transform({chars}, s -> struct(s AS s, transform(sequence(0, length({encoded}) div 2 - 1), k -> cast(conv(substring({encoded}, 2 * k + 1, 2), 16, 10) AS int) + {base}) AS ids))"
     ids = F.expr(f"flatten(transform(sort_array(concat({pieces}, {missing})), t -> t.ids))")
-    return done.select("word", F.when(~F.col("a.marked"), ids).alias("ids"))
+    return done.select("word", F.when(F.col("m") < _MARK, ids).alias("ids"))
 
 
 def viterbi(lattices: DataFrame, unknown: int, penalty: float = 10.0) -> DataFrame:
