@@ -53,5 +53,17 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.when(m == 0, 100.0).otherwise(0.0)).otherwise(best)
 
 
+def alignment(a: Column, b: Column) -> Column:
+    """struct(score, start, end): partial_ratio and where in b the best stretch for a lies, the leftmost of equals; all
+    of b if a is longer."""
+    n, m = F.length(a), F.length(b)
+    begin, end = (lambda i: F.greatest(i, F.lit(0))), (lambda i: F.least(i + n, m))
+    each = lambda i: F.struct(ratio(a, F.substring(b, begin(i) + 1, end(i) - begin(i))).alias("score"), (-begin(i)).alias("back"), end(i).alias("end"))
+    best = F.transform(F.array(F.array_max(F.transform(F.sequence(F.lit(1) - n, m - 1), each))), lambda x: F.struct(x["score"].alias("score"), (-x["back"]).alias("start"), x["end"].alias("end")))
+    whole = F.struct(partial_ratio(a, b).alias("score"), F.lit(0).alias("start"), m.alias("end"))
+    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return F.when((n == 0) | (m == 0), nothing).when(n <= m, F.get(best, F.lit(0))).otherwise(whole)
+
+
 def label_factor(score: Column) -> Column:
     return 0.8 + 0.2 * F.least(F.lit(1.0), score / 100.0)
