@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscreen.functions import crypto, dates, fuzzy, numbers, text
-from docscreen.operators import audit, checks, extract, history, lookups, report
+from docscreen.operators import audit, checks, extract, history, labels, lookups, report
 from docscreen.operators.rules import Rules
 from docscreen.plans import subjects as S
 from docscreen.sources import ingest
@@ -265,6 +265,21 @@ def box_value_join(spark, d):
     return out.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"))
 
 
+@query("WITH f AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS line, strftime(l_shipdate, '%d/%m/%Y') AS raw, l_linenumber * 10 AS y FROM lineitem), a AS (SELECT o_orderkey AS doc_id, 'birth_date' AS field, 0 AS pos, o_custkey % 50 AS ay FROM orders UNION ALL SELECT o_orderkey, 'expiry_date', 1, o_custkey % 50 + 25 FROM orders), p AS (SELECT f.doc_id, line, raw, field, pos, greatest(0, least(y, ay) + 20 - greatest(y, ay)) / cast(20 AS double) AS o FROM f JOIN a ON f.doc_id = a.doc_id) SELECT doc_id, line, raw, field FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line, raw ORDER BY o DESC, pos) AS n FROM p WHERE o >= 0.4) q WHERE n = 1")
+def stray_date_join(spark, d):
+    """Shipping dates as boxes of an order beside two date labels."""
+    free = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") * 10).alias("y"), F.lit(20).alias("h"), F.lit(0.9).alias("conf"), F.concat(F.lit("x "), F.date_format("l_shipdate", "dd/MM/yyyy")).alias("text"))
+    o, y = _table(spark, d, "orders"), (F.col("o_custkey") % 50).cast("int")
+    both = [o.select(F.col("o_orderkey").alias("doc_id"), F.lit(f).alias("field"), F.lit(i).alias("pos"), (y + 25 * i).alias("y"), F.lit(20).alias("h")) for i, f in enumerate(("birth_date", "expiry_date"))]
+    return labels.stray_dates(free, both[0].unionByName(both[1])).select("doc_id", "line", "raw", "field")
+
+
+@query("WITH e AS (SELECT least(l_linenumber % 5, 3) + CASE WHEN l_suppkey % 3 = 0 THEN 2 ELSE 0 END + l_partkey % 4 AS o, CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS n FROM lineitem) SELECT CASE WHEN o >= 3 AND o > n THEN 'old' WHEN n >= 2 AND n >= o THEN 'new' ELSE 'unknown' END AS layout, count(*) AS n FROM e GROUP BY 1")
+def layout_evidence(spark, d):
+    kind = labels.layout(F.col("l_linenumber") % 5, F.col("l_suppkey") % 3 == 0, F.col("l_partkey") % 4, F.col("l_suppkey") % 2 == 0, F.col("l_partkey") % 3 == 0, F.col("l_linenumber") % 2 == 0)
+    return _table(spark, d, "lineitem").groupBy(kind.alias("layout")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN w < 600 THEN least(s, 0.4) ELSE s END, 3) AS score FROM (SELECT *, 0.55 * CASE WHEN w < 400 THEN 0 ELSE least(1, cast(w - 400 AS double) / 800) END + 0.25 * least(1, cast(sh AS double) / 150) + 0.1 * (1 - least(1, abs(br - 170) / cast(170 AS double))) + 0.1 * (1 - least(1, gl / 0.3)) AS s FROM (SELECT l_orderkey, l_linenumber, cast(300 + l_partkey % 1000 AS int) AS w, l_quantity * 3 AS sh, l_suppkey % 256 AS br, l_discount AS gl FROM lineitem) m) n")
 def quality_score(spark, d):
     s = numbers.quality_score(F.col("w"), F.col("l_quantity") * 3, F.col("l_suppkey") % 256, F.col("l_discount"))
