@@ -232,3 +232,35 @@ def layout(header_lines: Column, hijri_expiry: Column, short_labels: Column, emp
     old = F.least(header_lines, F.lit(3)) + one(hijri_expiry, 2) + short_labels
     new = one(employer_value, 2) + one(employer_label, 1) + one(both_cues, 1)
     return F.when((old >= 3) & (old > new), "old").when((new >= 2) & (new >= old), "new").otherwise("unknown")
+
+
+# What an identity card's text has, what a permit's has, and the old layout's header.
+IDENTITY_CUES = ("الهويه الوطنيه", "بطاقه الهويه")
+IDENTITY_LATIN = ("id number", "date of birth", "expiry date", "dob:", "doe:", "dob", "doe")
+PERMIT_CUE, VERSION_CUE = "هويه مقيم", "رقم النسخه"
+OLD_HEADER = ("kingdom of saudi arabia", "ministry of interior", "resident identity")
+OLD_SHORT = ("iqama_no", "expiry_date", "birth_date", "employer_name", "issue_place")
+
+
+def evidence(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, header_lines, short_labels, employer_label, identity_cues, permit, both_cues) of every document's text
+    and the labels chosen in it (doc_id, field, best). A document's boxes are few; its text is gathered in one row."""
+    norm, low = F.coalesce(text.canonical(F.col("text")), F.lit("")), F.lower(F.coalesce("text", F.lit("")))
+    header = text.has_latin(F.col("text")) & (F.col("y") < 0.25 * F.col("card_h")) & (F.greatest(*(fuzzy.partial_ratio(F.lit(h), low) for h in OLD_HEADER)) >= 80)
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", c.alias("t")))), lambda x: x["t"]), " ")
+    whole = lines.groupBy("doc_id").agg(F.sum(header.cast("int")).alias("header_lines"), ordered(norm).alias("t"), ordered(low).alias("l"))
+    cues = sum((F.col(c).contains(k).cast("int") for c, ks in (("t", IDENTITY_CUES), ("l", IDENTITY_LATIN)) for k in ks), F.lit(0))
+    head = F.trim(F.get(F.split(text.canonical(F.col("text")), ":"), F.lit(0)))
+    short = F.col("field").isin(*OLD_SHORT) & (F.length(F.coalesce(head, F.lit(""))) <= 9)
+    each = found.select("doc_id", "field", "best.line").join(lines.select("doc_id", "line", "text"), ["doc_id", "line"])
+    counted = each.groupBy("doc_id").agg(F.sum(short.cast("int")).alias("short_labels"), F.max(F.col("field") == "employer_id").alias("employer_label"))
+    permit, version = F.col("t").contains(PERMIT_CUE), F.col("t").contains(VERSION_CUE)
+    return whole.join(counted, "doc_id", "left").select(
+        "doc_id", F.coalesce("header_lines", F.lit(0)).cast("int").alias("header_lines"), F.coalesce("short_labels", F.lit(0)).cast("int").alias("short_labels"), F.coalesce("employer_label", F.lit(False)).alias("employer_label"),
+        cues.alias("identity_cues"), permit.alias("permit"), (permit & version).alias("both_cues"),
+    )
+
+
+def document_kind(identity_cues: Column, number: Column, permit: Column) -> Column:
+    """NATIONAL_ID by a cue or, without the permit's, by a number that begins with 1; else IQAMA."""
+    return F.when((identity_cues >= 1) | (F.coalesce(number, F.lit("")).startswith("1") & ~permit), "NATIONAL_ID").otherwise("IQAMA")

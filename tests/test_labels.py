@@ -73,3 +73,13 @@ def test_nationality_by_vocabulary_and_layout(spark):
     rows = [(5, False, 0, False, False, False), (0, True, 1, True, True, True), (0, False, 0, True, False, False), (0, False, 2, False, False, False)]
     df = spark.createDataFrame(rows, "a int, b boolean, c int, d boolean, e boolean, f boolean")
     assert [r.x for r in df.select(labels.layout(*(F.col(c) for c in "abcdef")).alias("x")).collect()] == ["old", "new", "new", "unknown"]
+
+
+def test_evidence_for_kind_and_layout(spark):
+    rows = [line(0, "Kingdom of Saudi Arabla", y=10), line(1, "Ministry of Interior", y=500), line(2, "هوية مقيم", y=90), line(3, "رقم النسخة: 2"), line(4, "الرقم: 2"), (2, 0, "DOB: 1", 0, 300, 9, 9, 0.9, 1000, 600), (3, 0, None, 0, 0, 9, 9, 0.9, 1000, 600)]
+    found = spark.createDataFrame([(1, "iqama_no", (4,)), (1, "employer_id", (3,))], "doc_id long, field string, best struct<line: int>")
+    e = labels.evidence(spark.createDataFrame(rows, LINE), found)
+    got = {r.doc_id: tuple(r)[1:] for r in e.collect()}
+    assert got == {1: (1, 1, True, 0, True, True), 2: (0, 0, False, 2, False, False), 3: (0, 0, False, 0, False, False)}
+    kinds = spark.createDataFrame([(1, None, False), (0, "1000000032", False), (0, "1000000032", True), (0, None, False)], "c int, n string, p boolean")
+    assert [r.k for r in kinds.select(labels.document_kind(F.col("c"), F.col("n"), F.col("p")).alias("k")).collect()] == ["NATIONAL_ID", "NATIONAL_ID", "IQAMA", "IQAMA"]
