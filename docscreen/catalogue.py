@@ -221,11 +221,23 @@ def hijri_round_trip(spark, d):
 
 @query(f"{_SUBJECTS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN iqama_no ELSE concat(substr(iqama_no, 1, 5), substr(iqama_no, 6)) END AS number FROM subjects WHERE doc_id % 7 <> 0")
 def ten_digit_resolve(spark, d):
+    """The subjects with a right check digit, in the card's order, as its SQL has it; ten_digit_resolve_all has every subject's result as it comes."""
+    c, number = F.col("iqama_no"), F.col("r.number")
+    rows = _resolved(spark, d).where("doc_id % 7 <> 0")
+    # of a number in two chunks the reversed order wins only where it scores as well; both are the card's digits
+    return rows.select("doc_id", F.when(number == c, c).otherwise(F.concat(F.substring(number, 6, 5), F.substring(number, 1, 5))).alias("number"))
+
+
+def _resolved(spark, d):
     c = F.col("iqama_no")
     t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("no "), c)).otherwise(F.concat(F.substring(c, 1, 5), F.lit(" "), F.substring(c, 6, 5)))
-    rows = S.subjects(spark, d).where("doc_id % 7 <> 0").select("doc_id", "iqama_no", numbers.resolve_ten_digits(t, "2").alias("r"))
-    # of a number in two chunks the reversed order wins only where it scores as well; both are the card's digits
-    return rows.select("doc_id", F.when(F.col("r.number") == c, c).otherwise(F.concat(F.substring("r.number", 6, 5), F.substring("r.number", 1, 5))).alias("number"))
+    return S.subjects(spark, d).select("doc_id", "iqama_no", numbers.resolve_ten_digits(t, "2").alias("r"))
+
+
+@query()
+def ten_digit_resolve_all(spark, d):
+    """Every subject's number, wrong check digits included, printed behind a word or in two chunks."""
+    return _resolved(spark, d).select("doc_id", "r.number", "r.multiplier", "r.note")
 
 
 @query(f"{_SUBJECTS} SELECT doc_id, status FROM ({_DECISION}) d WHERE contains(lower(concat(triggers, ' ', reasons)), 'unreadable')")

@@ -1,6 +1,11 @@
 """Queries that must read all of their input, on rows whose end or kind a cut would lose."""
 
+import os
+
 from docscreen import catalogue
+from docscreen.plans import subjects as S
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_identifiers_behind_the_first_characters_are_masked(spark, tmp_path):
@@ -9,3 +14,32 @@ def test_identifiers_behind_the_first_characters_are_masked(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.masked.split(": ", 1)[1] for r in catalogue.QUERIES["pii_mask_documents_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: f"{far} 2999****** 2888******, ٢٩٩٩****** {far} 1777******", 2: "", 3: rows[2][1]}
+
+
+def luhn(s):
+    return sum(sum(divmod(int(x) * (1 + (i % 2 == 0)), 10)) for i, x in enumerate(s)) % 10 == 0
+
+
+def resolved(chunks):
+    """number, multiplier, note of chunks of digits by the written rules; prefix 2."""
+    exact = [c for c in chunks if len(c) == 10 and c[0] == "2" and luhn(c)]
+    if len(exact) == 1:
+        return exact[0], 1.0, "exact_chunk(luhn=True)"
+    if len("".join(chunks)) != 10:
+        return "".join(chunks), 0.5, f"length_{len(''.join(chunks))}"
+    orders = [("reversed", "".join(chunks[::-1])), ("natural", "".join(chunks))]  # the first of equals wins
+    (a, how, n), (b, _, _) = sorted(((2 * (x[0] == "2") + luhn(x), how, x) for how, x in orders), key=lambda x: -x[0])
+    if len(chunks) == 1:
+        return n, 1.0 if a >= 2 else 0.7, f"single_chunk(prefix_ok={n[0] == '2'},luhn={luhn(n)})"
+    if a == 0:
+        return n, 0.5, "no_candidate_valid"
+    return (n, 0.75, f"ambiguous_order({how})") if b >= 2 else (n, 1.0 if a == 3 else 0.9, f"{how}(luhn={luhn(n)})")
+
+
+def test_every_subject_is_resolved_and_none_is_turned_back(spark):
+    cards = {r.doc_id: r.iqama_no for r in S.subjects(spark, DATA).select("doc_id", "iqama_no").collect()}
+    # the o of "no" is read as a zero
+    want = {k: resolved(["0", c] if k % 2 == 0 else [c[:5], c[5:]]) for k, c in cards.items()}
+    got = {r.doc_id: (r.number, r.multiplier, r.note) for r in catalogue.QUERIES["ten_digit_resolve_all"](spark, DATA).collect()}
+    assert got == want
+    assert {n for _, _, n in want.values()} >= {"exact_chunk(luhn=True)", "length_11", "natural(luhn=True)", "natural(luhn=False)"}
