@@ -16,6 +16,9 @@ MISREAD = ("OolI|SB", "0011158")
 MISREAD_ALL = ("OolI|SBZ", "00111582")
 DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 LETTERS = ("إأآٱةىؤئ،؛：", "ااااهيوي,;:")
+#: Texts of these characters alone are composed already (a test proves it); and what Python's \s has beyond Java's.
+COMPOSED = r"^[\x00-\x7f،؛؟ء-غف-ي٠-٩]*$"
+BLANKS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 EDGE = r"\s:：;؛.,'\"_\-"
 TRUTHY = ("yes", "y", "true", "1", "نعم")
 
@@ -45,11 +48,27 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def canonical(c: Column, compose: bool = False) -> Column:
-    """The form that names are compared in. compose=True applies NFKC first, in an Arrow batch; leave it out for text
-    known to have no compatibility characters, and the expression stays in the JVM."""
-    t = F.regexp_replace(nfkc(c) if compose else c, DIACRITICS, "")
-    return F.lower(F.trim(F.regexp_replace(F.translate(t, *LETTERS), r"\s+", " ")))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(s: pd.Series) -> pd.Series:
+    """As nfkc, of every string of an array."""
+    return s.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def canonical(c: Column, compose: bool = True) -> Column:
+    """The form that names are compared in. NFKC comes first, in an Arrow batch that gets only the texts it may change;
+    compose=False is for texts composed before, as in a lambda, where no batch can run."""
+    if compose:
+        plain = F.coalesce(c.rlike(COMPOSED), F.lit(True))
+        c = F.when(plain, c).otherwise(nfkc(F.when(~plain, c)))
+    t = F.regexp_replace(c, DIACRITICS, "")
+    return F.lower(F.trim(F.regexp_replace(F.translate(t, *LETTERS), BLANKS, " ")))
+
+
+def canonical_each(c: Column) -> Column:
+    """As canonical, of every string of an array."""
+    plain = ~F.exists(c, lambda x: ~F.coalesce(x.rlike(COMPOSED), F.lit(True)))
+    c = F.when(plain, c).otherwise(nfkc_each(F.when(~plain, c)))
+    return F.transform(c, lambda x: canonical(x, compose=False))
 
 
 def clean(c: Column) -> Column:

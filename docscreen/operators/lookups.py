@@ -30,7 +30,7 @@ def occupation_keys(occupations: DataFrame) -> DataFrame:
     ar = o.where("ar <> ''").select(F.col("ar").alias("key"), F.lit(0).alias("p"), (-F.col("file_pos")).alias("q"), *cols)
     en = o.where("en <> ''").select(F.col("en").alias("key"), F.lit(1).alias("p"), F.col("file_pos").alias("q"), *cols)
     exact = one_per_key(ar.unionByName(en), "key", F.col("p"), F.col("q")).drop("p", "q").withColumn("method", F.lit("exact"))
-    al = o.select(F.explode(F.transform(text.aliases(F.col("aliases")), lambda x: text.canonical(x))).alias("key"), *cols).where("key <> ''")
+    al = o.select(F.explode(text.canonical_each(text.aliases(F.col("aliases")))).alias("key"), *cols).where("key <> ''")
     al = one_per_key(al, "key", F.col("file_pos")).withColumn("method", F.lit("alias"))
     return exact.unionByName(al)
 
@@ -51,13 +51,13 @@ def occupation_match(subjects: DataFrame, occupations: DataFrame, threshold: flo
     pairs = missed.crossJoin(keys).withColumn("s", fuzzy.token_set_ratio(F.col("v"), F.col("key")) / 100)  # a theta join with a dimension
     best = pairs.where(F.col("s") >= threshold).groupBy("v").agg(F.max_by(F.struct("name_ar", "name_en", "category", "eligible", F.lit("fuzzy").alias("method"), F.round("s", 3).alias("score")), F.struct("s", (-pos["col1"]).alias("a"), (-pos["file_pos"]).alias("b"))).alias("match"))
     table = sure.select("v", found.alias("match")).unionByName(best)
-    return subjects.join(table, text.canonical(F.col(column)) == table["v"], "left").drop("v")
+    return subjects.withColumn("v", text.canonical(F.col(column))).join(table, "v", "left").drop("v")
 
 
 def list_keys(entries: DataFrame) -> DataFrame:
     """(key, code): every name, code and alias of a coded list; the first row wins."""
     names = F.array_compact(F.concat(F.array("name_ar", "name_en", "code"), text.aliases(F.col("aliases"))))
-    keys = entries.select(F.posexplode(F.transform(names, lambda x: text.canonical(x))).alias("k", "key"), "code", "file_pos").where("key <> ''")
+    keys = entries.select(F.posexplode(text.canonical_each(names)).alias("k", "key"), "code", "file_pos").where("key <> ''")
     return one_per_key(keys, "key", F.col("file_pos"), F.col("k")).select("key", "code")
 
 
@@ -69,7 +69,7 @@ def code_of(subjects: DataFrame, entries: DataFrame, column: str, into: str = "c
     missed = values.join(sure.select("v"), "v", "left_anti").crossJoin(keys).withColumn("s", fuzzy.ratio(F.col("v"), F.col("key")))
     near = missed.where("s >= 80").groupBy("v").agg(F.max_by("code", F.struct("s", "key")).alias("code"), (F.round(F.max("s") / 100, 2)).alias("s"))
     table = sure.unionByName(near).select("v", F.col("code").alias(into), F.col("s").alias(f"{into}_multiplier"))
-    return subjects.join(table, text.canonical(F.col(column)) == table["v"], "left").drop("v")
+    return subjects.withColumn("v", text.canonical(F.col(column))).join(table, "v", "left").drop("v")
 
 
 def by_code(subjects: DataFrame, entries: DataFrame, column: str = "code") -> DataFrame:
@@ -84,7 +84,7 @@ def employer_reference(subjects: DataFrame, reference: DataFrame) -> DataFrame:
     ids = one_per_key(reference.where("employer_id <> ''"), "employer_id", F.desc("file_pos")).select(F.col("employer_id").alias("__i"), F.col("employer_type").alias("__ti"))
     names = reference.withColumn("__m", text.canonical(F.col("employer_name"))).where("__m <> ''")
     names = one_per_key(names, "__m", F.desc("file_pos")).select("__m", F.col("employer_type").alias("__tn"))
-    out = subjects.join(small(ids), F.col("employer_id") == F.col("__i"), "left").join(small(names), text.canonical(F.col("employer_name")) == F.col("__m"), "left")
+    out = subjects.join(small(ids), F.col("employer_id") == F.col("__i"), "left").withColumn("__m", text.canonical(F.col("employer_name"))).join(small(names), "__m", "left")
     return out.withColumn("ref_type", F.coalesce("__ti", "__tn")).drop("__i", "__ti", "__m", "__tn")
 
 
@@ -92,9 +92,10 @@ def company(subjects: DataFrame, threshold: float, defaults: tuple[str, ...] = (
     """Adds company, company_source, needs_choice from employer_name, companies (an array) and doc_type."""
     asked = F.filter(F.transform(F.coalesce("companies", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     asked = F.when(F.size(asked) > 0, asked).otherwise(F.array(*map(F.lit, defaults)).cast("array<string>"))
-    emp = F.coalesce(text.canonical(F.col("employer_name")), F.lit(""))
-    rate = lambda x: F.greatest(fuzzy.token_set_ratio(emp, text.canonical(x)), fuzzy.partial_ratio(emp, text.canonical(x))) / 100
-    scored = F.transform(asked, lambda x, i: F.struct(rate(x).alias("s"), (-i).alias("p"), x.alias("name")))
+    subjects = subjects.withColumns({"__e": F.coalesce(text.canonical(F.col("employer_name")), F.lit("")), "__keys": text.canonical_each(asked)})
+    emp = F.col("__e")
+    rate = lambda x: F.greatest(fuzzy.token_set_ratio(emp, x), fuzzy.partial_ratio(emp, x)) / 100
+    scored = F.transform(F.arrays_zip(asked.alias("name"), F.col("__keys").alias("key")), lambda x, i: F.struct(rate(x["key"]).alias("s"), (-i).alias("p"), x["name"].alias("name")))
     best = F.array_max(F.filter(scored, lambda x: x["s"] >= threshold))
     first = F.get(asked, F.lit(0))
     identity = F.col("doc_type") == "NATIONAL_ID"
@@ -103,13 +104,13 @@ def company(subjects: DataFrame, threshold: float, defaults: tuple[str, ...] = (
         F.when(identity | (emp == ""), first).otherwise(F.coalesce(F.col("__b.name"), F.col("employer_name"))).alias("company"),
         F.when(identity, "NATIONAL_ID").when(F.col("__b").isNotNull(), "AUTO").otherwise("CARD").alias("company_source"),
         (~identity & F.col("__b").isNull()).alias("needs_choice"),
-    ).drop("__b")
+    ).drop("__b", "__e", "__keys")
 
 
 def upsert(table: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Rows whose canonical key is new or replaced, and all others as they were."""
     key = rows.select(text.canonical(F.col(column)).alias("__k")).distinct()
-    return table.join(small(key), text.canonical(F.col(column)) == key["__k"], "left_anti").unionByName(rows, allowMissingColumns=True)
+    return table.withColumn("__k", text.canonical(F.col(column))).join(small(key), "__k", "left_anti").drop("__k").unionByName(rows, allowMissingColumns=True)
 
 
 def options(card: Column, companies: Column) -> Column:

@@ -155,3 +155,23 @@ def test_permuted_boxes_give_the_same_rows(spark):
     data = [(1, i, f"t{i}", 200 - 30 * i, 0, 28, 20, 0.9) for i in range(5)]
     a, b = (sorted(r.text for r in extract.merged_rows(spark.createDataFrame(d, BOX)).collect()) for d in (data, data[::-1]))
     assert a == b
+
+
+def test_lookups_compose_presentation_forms(spark):
+    occ = spark.createDataFrame([("مدرسة", "teacher", "ﻣﻌﻠﻢ|Ｐｅｄａｇｏｇｕｅ", "c", True, 0)], "name_ar string, name_en string, aliases string, category string, eligible boolean, file_pos int")
+    asked = ["ﻣﺪﺭﺳﺔ", "ｔｅａｃｈｅｒ", "معلم", "pedagogue", " teacher ", "none"]
+    got = lookups.occupation_match(spark.createDataFrame([(a,) for a in asked], "occupation string"), occ, 2.0).collect()
+    assert {r.occupation: r.match and r.match.method for r in got} == dict(zip(asked, ["exact", "exact", "alias", "alias", "exact", None]))
+    entries = spark.createDataFrame([("SA", "السعودية", "Saudi Arabia", "", 0)], "code string, name_ar string, name_en string, aliases string, file_pos int")
+    codes = lookups.code_of(spark.createDataFrame([("ﺍﻟﺴﻌﻮﺩﻳﺔ",), ("saudi arabia",)], "n string"), entries, "n").collect()
+    assert [(r.code, r.code_multiplier) for r in codes] == [("SA", 1.0)] * 2
+    ref = spark.createDataFrame([("", "ﺷﺮﻛﺔ ﺍﻻﻣﻞ", "COMPANY", 0)], "employer_id string, employer_name string, employer_type string, file_pos int")
+    cards = spark.createDataFrame([("7", "شركة الامل", "IQAMA", ["x", "ﺷﺮﻛﺔ ﺍﻻﻣﻞ"])], "employer_id string, employer_name string, doc_type string, companies array<string>")
+    assert lookups.employer_reference(cards, ref).first()["ref_type"] == "COMPANY"
+    assert lookups.company(cards, 0.9).first()["company"] == "ﺷﺮﻛﺔ ﺍﻻﻣﻞ"
+    named = spark.createDataFrame([("9", "Ｍｉｎｉｓｔｒｙ of x", None)], "employer_id string, employer_name string, ref_type string")
+    assert named.select(checks.employer_class(Rules(government=("ministry",))).alias("c")).first()["c"]["type"] == "GOVERNMENT"
+    left = lookups.upsert(ref, ref.withColumn("employer_name", F.lit("شركة الامل")), "employer_name").collect()
+    assert [r.employer_name for r in left] == ["شركة الامل"]
+    lines = spark.createDataFrame([(1, "ﺍﻟﻬﻮﻳﺔ ﺍﻟﻮﻃﻨﻴﺔ")], "doc_id int, text string")
+    assert extract.document_type(lines, ["الهويه الوطنيه"], []).first()["doc_type"] == "NATIONAL_ID"

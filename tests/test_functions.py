@@ -2,6 +2,8 @@
 
 import hashlib
 import hmac
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -137,3 +139,12 @@ def test_keyed_hash_and_encryption(spark):
 def test_quality(spark):
     df = spark.createDataFrame([(300, 100.0, 170.0, 0.0), (1200, 150.0, 170.0, 0.0)], "w int, s double, b double, g double")
     assert [r.x for r in df.select(numbers.quality_score(F.col("w"), F.col("s"), F.col("b"), F.col("g")).alias("x")).collect()] == [0.367, 1.0]
+
+
+def test_canonical_composes_whatever_may_change(spark):
+    safe = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and re.match(text.COMPOSED, chr(i)) and chr(i) != "\n"]
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in safe for b in safe)  # and so no longer text of theirs changes
+    values = [(" ﻣﺪﺭﺳﺔ ﺍﻻﻣﻞ ", "مدرسه الامل"), ("Ｍｉｎｉｓｔｒｙ　ﬁ x", "ministry fi x"), ("مُدرسة", "مدرسه"), ("ab", "ab"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(v, [v, "ﬀ"]) for v, _ in values], "c string, a array<string>")
+    got = df.select(text.canonical(F.col("c")).alias("c"), text.canonical_each(F.col("a")).alias("a")).collect()
+    assert [r.c for r in got] == [w for _, w in values] and [list(r.a) for r in got] == [[w, "ff"] for _, w in values]
