@@ -8,7 +8,7 @@ A rule (verdict, host, path) fits its host and all subdomains if the url's path
 components over these edges are classes of equal content. A url without a rule is blocked if some member of its class is
 blocked by a rule and none is allowed by one: explicit allows take precedence, on the url itself and in its class.
 
-A url's node is the url without its fragment. Relative targets are resolved against scheme and host; those relative to
+All tags of a page count, those without a target aside. A url's node is the url without its fragment. Relative targets are resolved against scheme and host; those relative to
 a folder against the url's folder.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, no rule and no class, and are allowed; null
@@ -17,6 +17,10 @@ html has no links; repeated rows are judged alike; a page that names itself has
 
 from __future__ import annotations
 
+import html
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +31,11 @@ MAX_RULES = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _META = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_URL = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_URL = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_PARTS = "&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*(?:;|(?![=;a-zA-Z0-9]))|&|[^&]+"
+#: HTML's names, and its numbers that stand for windows-1252.
+_NAMES = json.dumps(html5 | {f"#{n}": html.unescape(f"&#{n};") for n in range(0x80, 0xA0)})
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,10 +60,24 @@ def node(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.substring_index(url, "#", 1))
 
 
+def unescaped(c: Column) -> Column:
+    """An attribute's value with its character references resolved as HTML does: a name without a semicolon stays as it
+    is before a letter, a digit or an equals sign."""
+    names = F.from_json(F.lit(_NAMES), "map<string, string>")
+    code = lambda x: F.coalesce(F.when(x.rlike("^&#[0-9]"), F.regexp_extract(x, "([0-9]+)", 1).try_cast("long")).otherwise(F.conv(F.regexp_extract(x, "^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1), 16, 10).try_cast("long")), F.lit(-1))
+    valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    char = lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    numbered = lambda x: F.coalesce(F.element_at(names, F.concat(F.lit("#"), code(x).cast("string"))), char(code(x)))
+    one = lambda x: F.when(x.rlike("^&#."), numbered(x)).when(x.rlike("^&."), F.coalesce(F.element_at(names, F.substring(x, 2, 40)), x)).otherwise(x)
+    return F.when(F.locate("&", c) > 0, F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PARTS), F.lit(0)), one), "")).otherwise(c)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's node and the node that a canonical link or redirect of it names."""
-    tags = pages.select("url", F.explode(F.array(F.struct(F.regexp_substr("html", F.lit(_LINK)).alias("t"), F.lit(_HREF).alias("p")), F.struct(F.regexp_substr("html", F.lit(_META)).alias("t"), F.lit(_URL).alias("p")))).alias("x"))
-    tags = tags.where("x.t is not null").select("url", F.when(F.col("x.p") == _HREF, F.regexp_extract("x.t", _HREF, 1)).otherwise(F.regexp_extract("x.t", _URL, 1)).alias("to"))
+    """(a, b): a page's node and each node that a canonical link or redirect of it names."""
+    every = lambda tag, value: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
+    tags = pages.select("url", F.explode(F.concat(every(_LINK, _HREF), every(_META, _URL))).alias("raw")).where("raw <> ''")
+    # a url in escaped quotes ends with them
+    tags = tags.select("url", F.trim(F.regexp_replace(unescaped(F.col("raw")), r"""^(["'])(.*?)(?:\1.*)?$""", "$2")).alias("to"))
     to = F.col("to")
     scheme, site = F.regexp_extract("url", r"^([^:]*:)//", 1), F.regexp_extract("url", r"^([^:]*://[^/?#]*)", 1)
     folder = F.regexp_extract(F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), F.lit("/")), r"^([^:]*://[^/]*(?:/.*(?=/[^/]*/$))?)", 1)
@@ -93,7 +114,7 @@ _REST = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') +
 _HOST = f"translate(regexp_extract({_REST}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
 _PATH = f"regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1)"
 
-#: Absolute targets alone; the test tables have no links at all.
+#: Absolute and unescaped targets of a page's first tags alone; the test tables have no links at all.
 ORACLE_SQL = f"""
 WITH RECURSIVE tags AS (
   SELECT url, regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM pages

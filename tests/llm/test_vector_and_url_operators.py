@@ -1,7 +1,10 @@
 """Operators on embeddings and urls against brute force."""
 
+import html
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docscreen.llm import ann, common, embedding_dedup, url_filter
 
@@ -90,6 +93,25 @@ def test_rules_and_aliases(spark):
     assert got[9] == ("", "", None, "allow") == got[10] and got[11] == ("org", "", None, "allow") and got[12][3] == "block"
 
 
+def test_every_tag_of_a_page_is_an_edge(spark):
+    rows = [
+        (1, "http://a.net/1", "<meta http-equiv=refresh content=300><META http-equiv='refresh' content='0;url=http://x.com/de/1'>"),
+        (2, "http://a.net/2", '<link rel=canonical><link rel="canonical" href="http://plain.net/"><link rel="canonical" href=" http://x.com/de/2">'),
+        (3, "https://a.net/x?p=1&q=2", ""), (4, "http://x.com/de/3", "<link rel=canonical href='https://a.net/x?p=1&amp;q=2'>"),
+        (5, "https://a.net/y?p=1&copy=2&é", ""), (6, "http://x.com/de/4", "<link href='https://a.net&#x2f;y&#63;p=1&copy=2&amp&eacute;#top' rel=canonical>"),
+        (7, "http://a.net/5", '<meta http-equiv="refresh" content="0; url=&#39;http://x.com/de/6&#39;">'), (8, "http://a.net/6", "<meta http-equiv=refresh content=300><link rel=canonical>"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "block" for k in range(1, 8)} | {8: "allow"}
+
+
+def test_references_are_resolved_as_html_does(spark):
+    same = ["a&amp;b", "&lt;&gt;&quot;&apos;", "&#38;&#x26;&#X26;", "&#128;", "&#0;&#xD800;&#x110000;", "&#x1F600;&#233", "&nosuch;&", "&amp", "&amp;amp;", "plain", "&NotEqualTilde;", "&#99999999999999999999;"]
+    odd = {"?a=1&copy=2": "?a=1&copy=2", "&copyx": "&copyx", "&notit;": "&notit;"}  # in an attribute, unlike in text
+    got = spark.createDataFrame([(x,) for x in [*same, *odd]], "c string").select("c", url_filter.unescaped(F.col("c")).alias("x")).collect()
+    assert {r.c: r.x for r in got} == {x: html.unescape(x) for x in same} | odd
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (None, 3), (7, 7), (103, 101), (500, 103)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
