@@ -12,7 +12,7 @@ blocks of the partitions it probes, each block returns its nearest, and a window
 Queries of which fewer than k are found search every partition, so small inputs return all candidates there are.
 
 Distances are Euclidean, in double precision on the original vectors. Defined cases: vectors that are null, zero, empty,
-hold null or non-finite components or have another length than most take no part, nor do null vec_ids; a vec_id that
+or hold null or non-finite components take no part, nor do null vec_ids; each length has its own index; a vec_id that
 repeats is one query (its smallest vector) and as many candidates as rows, but never its own; ties go to smaller ids.
 """
 
@@ -197,12 +197,19 @@ def _searched(queries: DataFrame, index: DataFrame, sizes: dict[int, int], k: in
 
 
 def searched(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query (vec_id, embedding) its k nearest found in rows."""
-    spark = rows.sparkSession
+    """query_id, rank, vec_id, score: of each query (vec_id, embedding) its k nearest found in rows of its length."""
     take = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & vectors.usable(F.col("v")))
-    fit_rows = take(rows)
-    width = vectors.common_width(fit_rows, "v") or 1
-    fit_rows = fit_rows.where(F.size("v") == width)
+    index, asked = take(rows), take(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    found = None
+    for width in vectors.widths(asked, "v"):
+        own = _searched_width(index.where(F.size("v") == width), asked.where(F.size("v") == width), width, k)
+        found = own if found is None else found.unionByName(own)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _searched_width(fit_rows: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
+    """As searched, of usable vectors of one length; asked has each vec_id once."""
+    spark = fit_rows.sparkSession
     n_rows = fit_rows.count()
     share = int(min(1.0, 1.2 * SAMPLE / max(n_rows, 1)) * (1 << 30)) + 1
     hashed = fit_rows.withColumn("o", F.xxhash64("vec_id")).where(F.pmod("o", F.lit(1 << 30)) < share)
@@ -213,7 +220,6 @@ def searched(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index = fit_rows.mapInArrow(_routed(held, 1, width, "parts"), "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.get("parts", F.lit(0)).alias("part"))
     index = common.written(index, "ann-index")
     sizes = dict(index.groupBy("part").count().collect())
-    asked = take(queries).where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     probes = lambda q, m: q.mapInArrow(_routed(held, m, width, "parts"), "vec_id long, v array<double>, parts array<int>").select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))

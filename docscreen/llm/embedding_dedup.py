@@ -13,8 +13,9 @@ blocks further apart than D in one of them hold no link at all (Cauchy-Schwarz)
 with its vectors packed. A block pair returns, for each class that links in it, its links and the smallest class that
 it reaches there: never pairs. common.components joins these stars.
 
-Defined cases: null, empty, zero vectors and those with null or non-finite components, rows with a null label and rows
-whose vector has another length than most, link with nothing: n_links 0, component_id = vec_id, kept. Rows with a null
+Vectors of different lengths are never compared; each length is run for itself, one after the other.
+
+Defined cases: null, empty, zero vectors and those with null or non-finite components and rows with a null label link with nothing: n_links 0, component_id = vec_id, kept. Rows with a null
 vec_id take no part and have null ids (kept is false). Rows are judged by their vectors: repeated
 rows link as other vectors do, and a vec_id with two vectors has a row for each.
 """
@@ -124,10 +125,18 @@ def linked(rows: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFra
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     fit = rows.where(vectors.usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    width = vectors.common_width(fit, "v")
-    if width is None:
+    told = None
+    for width in vectors.widths(fit, "v"):
+        own = _classes(fit.where(F.size("v") == width), width, least, block)
+        told = own if told is None else told.unionByName(own)
+    if told is None:
         return _told(rows.select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("c")))
-    fit = fit.where(F.size("v") == width)
+    own = rows.where("vec_id is not null").join(told, (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v")), "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n"), "c")
+    return _told(own.unionByName(rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("c"))))
+
+
+def _classes(fit: DataFrame, width: int, least: float, block: int) -> DataFrame:
+    """__label, __v, n, c: links and component of each different vector of one length under a label."""
     classes = fit.groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
     classes = common.written(classes.mapInArrow(_grid(width), f"label {classes.schema['label'].dataType.simpleString()}, v array<double>, cid long, mult long, p double, q double"), "vector-classes")
     side = F.ceil(F.sqrt(F.col("n") / block))
@@ -146,15 +155,13 @@ def linked(rows: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFra
     pairs = a.join(b, "label").where((F.col("i") <= F.col("j")) & ~apart("p") & ~apart("q")).select("label", "i", "j")
     left = packed.select("label", F.col("block").alias("i"), F.col("cids").alias("ci"), F.col("mults").alias("mi"), F.col("x").alias("xi"))
     right = packed.select("label", F.col("block").alias("j"), F.col("cids").alias("cj"), F.col("mults").alias("mj"), F.col("x").alias("xj"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = pairs.join(left, ["label", "i"]).join(right, ["label", "j"]).select("i", "j", "ci", "mi", "xi", "cj", "mj", "xj").repartition(n)
     stars = common.checkpoint(work.mapInArrow(_pairs(width, least), "cid long, links long, root long").groupBy("cid", "root").agg(F.sum("links").alias("links")))
     same = common.components(stars.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = stars.groupBy("cid").agg(F.sum("links").alias("links"))
     told = classes.select("label", "v", "cid", "mult").join(links, "cid", "left").join(same, F.col("cid") == same["node"], "left")
-    told = told.select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "cid").alias("c"))
-    own = rows.where("vec_id is not null").join(told, (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v")), "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n"), "c")
-    return _told(own.unionByName(rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("c"))))
+    return told.select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "cid").alias("c"))
 
 
 _GRID = [i / 256 for i in range(1, 256)]

@@ -19,7 +19,6 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def common_width(rows: DataFrame, column: str) -> int | None:
-    """The most frequent length (of equally frequent ones the smallest); others take no part."""
-    top = rows.groupBy(F.size(column).alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return top["w"] if top else None
+def widths(rows: DataFrame, column: str) -> list[int]:
+    """The different lengths; vectors of different lengths are never compared."""
+    return sorted(r["w"] for r in rows.select(F.size(column).alias("w")).distinct().collect())

@@ -45,6 +45,23 @@ def test_links_equal_brute_force(spark, block):
     assert all((got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (0, r[0], True) for r in ODD)
 
 
+SHORT = [(3000 + i, [1.0, 2.0, 0.001 * i], 0) for i in range(3)] + [(3010, [-1.0, 0.5, 0.0], 0), (3011, [1.0, 2.0, 0.0], 1), (3020, [2.0], 1), (3021, [3.0], 1)]
+
+
+def test_vectors_of_a_rarer_length_link_too(spark):
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.linked(spark.createDataFrame(vectors()[:40] + SHORT, VECTORS)).collect()}
+    assert len(got) == 40 + len(SHORT)
+    assert [got[3000 + i] for i in range(3)] == [(2, 3000, True), (2, 3000, False), (2, 3000, False)]
+    assert got[3010] == (0, 3010, True) and got[3011] == (0, 3011, True) and got[3020] == (1, 3020, True) and got[3021] == (1, 3020, False)
+
+
+def test_vectors_of_a_rarer_length_are_searched_too(spark):
+    df = spark.createDataFrame([r[:2] for r in vectors()[:40] + SHORT], "vec_id long, embedding array<float>")
+    got = ann.searched(df, df.where("vec_id in (0, 3000, 3020)")).collect()
+    mine = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 3000, 3020)}
+    assert len(mine[0]) == 10 and max(mine[0]) < 40 and mine[3000] == [3011, 3001, 3002, 3010] and mine[3020] == [3021]
+
+
 def test_nearest_equal_brute_force_on_small_inputs(spark):
     rows = [(r[0], r[1]) for r in vectors() + ODD]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
