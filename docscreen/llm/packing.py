@@ -9,7 +9,8 @@ maps lengths so that no set of pieces fitting one sequence has f-sum over 1; so
 best of a family of such functions certifies a partition that meets it. In a partition with a gap, sequences that aren't
 full are opened, and their pieces go back: with those of all other such partitions they are dealt anew over fewer
 partitions, and packed again, for ``rounds`` rounds or until one partition holds what is left. A certified partition
-gives back its emptiest sequence alone. Partitions stay of bounded size throughout, so the work spreads.
+gives back its emptiest sequence alone. In the last round a partition with a gap repacks such sequences in other orders;
+what has a gap even then stays uncertified. Partitions stay of bounded size throughout, so the work spreads.
 
 Defined cases: a null or empty text is its end token alone; rows with equal or null doc_id are packed each for itself;
 an empty table gives an empty table; ``size`` under 1 is refused.
@@ -33,6 +34,8 @@ SIZE, END = 1024, 2
 #: Pieces that a partition packs, and rounds of exchange.
 PARTITION_PIECES = 10_000
 ROUNDS = 4
+#: In the last round, how often a partition with a gap repacks its sequences that aren't full.
+TRIES = 50
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -79,9 +82,9 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-fit decreasing: the bin and offset of each length, and each bin's free places."""
-    order = np.argsort(-lengths, kind="stable")
+def best_fit(lengths: np.ndarray, size: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit, decreasing unless an order is given: the bin and offset of each length, and each bin's free places."""
+    order = np.argsort(-lengths, kind="stable") if order is None else order
     bins, offsets = np.empty(len(lengths), "i8"), np.empty(len(lengths), "i8")
     by_free: list[list[int]] = [[] for _ in range(size + 1)]
     frees: list[int] = []  # the sorted free sizes that some bin has
@@ -105,10 +108,28 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.array(free, "i8")
 
 
+def repacked(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """bins and offsets with the sequences that aren't full packed again in other orders, until the bound certifies them
+    or TRIES are over. Their number never grows."""
+    bins, offsets, free, rng = bins.copy(), offsets.copy(), free.copy(), np.random.default_rng(0)
+    bound = lower_bound(lengths, size)
+    for _ in range(TRIES):
+        at, old = np.flatnonzero(free[bins] > 0), np.flatnonzero(free > 0)
+        if (free >= 0).sum() <= bound or not len(old):
+            break
+        order = np.argsort(-lengths[at] * rng.uniform(rng.uniform(), 1, len(at)), kind="stable")
+        b, o, left = best_fit(lengths[at], size, order)
+        if len(left) <= len(old):
+            bins[at], offsets[at] = old[b], o
+            free[old] = np.r_[left, np.full(len(old) - len(left), -1)]  # -1: nothing is left in it
+    return bins, offsets
+
+
 def _packer(size: int, last: bool):
     """A partition's pieces with their places. Unless last, pieces that may fit better elsewhere are left open.
 
-    A certified partition opens its emptiest sequence alone; one with a gap opens all that aren't full.
+    A certified partition opens its emptiest sequence alone; one with a gap opens all that aren't full. The last round
+    repacks those itself.
     """
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -120,6 +141,8 @@ def _packer(size: int, last: bool):
             open_[free.argmax()] = free.max() > 0
             if len(free) > lower_bound(lengths, size):
                 open_ = free > 0
+        else:
+            bins, offsets = repacked(lengths, bins, offsets, free, size)
         return pd.DataFrame({"pid": part["pid"], "length": lengths, "open": open_[bins], "group": int(key[0]), "bin": bins, "offset": offsets})
 
     return pack

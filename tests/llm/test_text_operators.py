@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -227,3 +228,12 @@ EMPTY = [
 @pytest.mark.parametrize("f", EMPTY)
 def test_an_empty_table_gives_an_empty_table(spark, f):
     assert f(frame(spark, [(1, "x")]).where("doc_id = 2")).count() == 0
+
+
+def test_the_last_round_closes_gaps_of_best_fit():
+    lengths = np.array([4, 4, 3, 3, 3, 3])
+    assert len(packing.best_fit(lengths, 10)[2]) == 3 and packing.lower_bound(lengths, 10) == 2
+    got = packing._packer(10, True)((0,), pd.DataFrame({"pid": range(6), "length": lengths}))
+    assert got["bin"].nunique() == 2 and not got["open"].any()
+    for _, one in got.sort_values("offset").groupby("bin"):
+        assert one["offset"].tolist() == [0, *one["length"].cumsum()[:-1]] and one["length"].sum() <= 10
