@@ -1,43 +1,48 @@
 """Operator 1, SentencePiece encoding and decoding as a relational lattice.
 
 A text's words are its runs "spaces, then the rest", with spaces written as U+2581 and one in front of the text; no piece
-of a model goes over such a border, so words are encoded each for itself and only once for the whole corpus. All
-substrings of a word up to the longest piece are exploded and equi-joined to the piece table; the matches are the edges
-of the word's lattice, grouped by word and folded with Spark's higher-order ``aggregate``:
-
-- a unigram model by Viterbi, from position to position, over the best score and path that end there;
-- a BPE model by its merges. Sums of scores don't order BPE's results, so Viterbi can't give the library's ids there:
-  the lattice's edges are folded in the order of their scores instead (equal ones from the left), over a bit mask of the
-  borders that are left; an edge merges when just one border is left inside it. A merge that makes an edge possible
-  which should have come before it marks the word; marked words, and those of over LONGEST characters (the mask is one
-  long), are encoded by the library in Arrow batches.
-
-Characters without a piece become their bytes' pieces. Words meet their documents again in two tiers: the HOT most
-frequent are broadcast (a bound that doesn't grow) and resolved where the text is; the others' occurrences, one row each,
-are joined by a shuffle on the word.
-
-Defined cases: null and empty texts have no ids and decode to the empty text; rows are told apart by doc_id and a hash
-of the text, repeated rows by that are returned as often as they come; null doc_ids stay.
+goes over such a border (models with one that does are refused). The bounded substrings of words meet the piece table;
+the matches are a lattice's edges, grouped by word and folded.
+
+- Unigram models, ``unigram_words``: Spark explodes the substrings, equi-joins them to the broadcast piece table, groups
+  the edges by word, and Viterbi is a higher-order ``aggregate`` from position to position.
+- BPE models, ``encoded`` and the query. Sums of scores don't order BPE's results, so Viterbi can't give the library's
+  ids; the edges are folded by merges instead: of two neighbouring symbols that an edge spans, always those of the best
+  score, from the left. A Spark lattice of the corpus's words, folded by ``aggregate``, costs more than the limits allow
+  (README), so here the same joins run on columns of numpy in Arrow batches: a substring goes on to its next character
+  only while some piece begins with it (an equi-join of (node, character) with the pieces' trie, with exact keys), and
+  all words of a batch merge at once, each in rounds. Borders that no edge spans part a word into segments, which merge
+  apart. Segments that don't settle in ROUNDS rounds (very long ones) are folded over a heap. Words are encoded once for
+  each BATCH_WORDS different ones. Nothing is shuffled, collected or sampled; no word leaves the lattice.
+
+Characters without a piece become their bytes' pieces. ``decoded`` gives the text of an ids column in Spark expressions.
+
+Defined cases: null and empty texts have no ids and decode to the empty text; a text of any length is encoded whole; rows
+are encoded each for itself, so null and repeated doc_ids stay as often as they come; an empty table gives an empty
+table; further columns are kept by ``encoded``, but for one named as its results, which is replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docscreen.llm import common
 
-MODEL, SPACE, LONGEST, HOT = "piece_bpe_32k.model", "▁", 60, 250_000
-#: Words whose lattices a task groups and folds at a time.
-TASK_WORDS = 10_000
+MODEL, SPACE = "piece_bpe_32k.model", "▁"
+#: Different words, all words and characters that a batch gathers; characters whose lattice is held at a time.
+BATCH_WORDS, BATCH_ALL, BATCH_CHARS, BLOCK_CHARS = 150_000, 2_000_000, 16 << 20, 150_000
+ROUNDS = 48
+NEVER = np.iinfo("i4").max
 
 
 @functools.cache
@@ -50,7 +55,10 @@ def library(model: str = MODEL):
 def piece_rows(model: str = MODEL) -> list[tuple[str, int, float]]:
     """(piece, id, score) of the pieces that text can match, and none for control and byte pieces."""
     sp = library(model)
-    return [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    rows = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    if any(SPACE in p.lstrip(SPACE) for p, _, _ in rows):
+        raise ValueError("a piece goes over the border of a word")
+    return rows
 
 
 def byte_base(model: str = MODEL) -> int:
@@ -74,83 +82,20 @@ def words_of(text: str | None) -> list[str]:
     return [*out, SPACE * lead] if lead else out
 
 
-def scored_edge() -> Column:
-    """An edge for Viterbi: its score and its ends."""
-    return F.struct("score", "s", "e", "id")
-
-
-def ranked_edge() -> Column:
-    """An edge for merges in one long: from the top its rank, both ends and its id, each in its bits, then whether it is
-    risky. Longs sort as the merges come, and a long costs a task far less than a struct."""
-    return F.expr(f"shiftleft(cast(rank AS bigint), {_RANK}) | shiftleft(cast(s AS bigint), {_START}) | shiftleft(cast(e AS bigint), {_END}) | shiftleft(cast(id AS bigint), 1) | risky")
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, edges): the pieces (piece, id, score) that match a word's substrings, as sorted structs of score, s, e, id.
 
-
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
-    """(word, edges): the pieces that match a word's substrings, as sorted values of edge; a word without any has none.
-
-    words is distinct in its column word; pieces has piece, id and what edge needs beside s and e.
+    words is distinct in its column word; a word without any edge is returned too.
     """
     n = F.length("word")
     # each word's first span is empty and joins to an empty piece, whose edge is null and not collected: no word is lost
     spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(n - F.col("s"), F.lit(longest)))).alias("l"))
     subs = spans.select("word", "s", (F.col("s") + F.col("l")).alias("e"), F.substring("word", F.col("s") + 1, F.col("l")).alias("piece"))
-    empty = pieces.sparkSession.createDataFrame([("",)], "piece string")
-    table = pieces.unionByName(empty, allowMissingColumns=True)
-    # A long key makes the fast kind of hash table. Strings that begin with each other are equal; written as an equation
-    # that would become a second key and the slow kind again.
-    table = table.withColumnRenamed("piece", "known").withColumn("key", F.xxhash64("known"))
-    same = (F.xxhash64("piece") == F.col("key")) & F.col("piece").startswith(F.col("known")) & F.col("known").startswith(F.col("piece"))
-    edges = subs.join(F.broadcast(table), same).select("word", F.when(F.col("id").isNotNull(), edge).alias("x"))
+    table = pieces.unionByName(pieces.sparkSession.createDataFrame([("",)], "piece string"), allowMissingColumns=True)
+    edges = subs.join(F.broadcast(table), "piece").select("word", F.when(F.col("id").isNotNull(), F.struct("score", "s", "e", "id")).alias("x"))  # a model's pieces
     return edges.groupBy("word").agg(F.sort_array(F.collect_list("x")).alias("edges"))
 
 
-def ranked(rows: list[tuple[str, int, float]]) -> list[tuple[str, int, int, int]]:
-    """(piece, id, rank, risky): ranks count the scores from the best; a piece is risky if one that merges no later
-    begins or ends with it, for then its merge can make an edge possible that should have come before."""
-    rank = {x: k for k, x in enumerate(sorted({-r[2] for r in rows}))}
-    of = {p: rank[-score] for p, _, score in rows}
-    risky = {y for z, r in of.items() for k in range(1, len(z)) for y in (z[:k], z[k:]) if of.get(y, -1) >= r}
-    if max(len(rank), max(r[1] for r in rows)) >= 1 << 20:
-        raise ValueError("an edge has 20 bits for a rank and an id")
-    return [(p, i, of[p], int(p in risky)) for p, i, _ in rows]
-
-
-_RANK, _START, _END, _MARK = 33, 27, 21, 1 << 62
-
-
-def merged(lattices: DataFrame, base: int) -> DataFrame:
-    """(word, ids, marked) by BPE merges over ranked edges; ids is null for marked words."""
-
-    def start(y: str) -> str:
-        return f"cast(shiftright({y}, {_START}) & 63 AS int)"
-
-    def end(y: str) -> str:
-        return f"cast(shiftright({y}, {_END}) & 63 AS int)"
-
-    def both(y: str) -> str:
-        return f"(shiftleft(1L, {start(y)}) | shiftleft(1L, {end(y)}))"
-
-    def inside(y: str) -> str:
-        return f"(shiftleft(1L, {end(y)}) - shiftleft(2L, {start(y)}))"
-
-    def can(m: str, y: str) -> str:
-        return f"(bit_count({m} & {inside(y)}) = 1 AND ({m} & {both(y)}) = {both(y)})"
-
-    # The fold's state is the mask; bit 62, which no border of a short word has, marks it. Edges sort by rank, start and
-    # end before anything else, so a smaller one should have come before.
-    after = f"(m & ~{inside('y')})"
-    sooner = f"(y & 1) = 1 AND exists(ys, z -> z < y AND ({start('z')} = {start('y')} OR {end('z')} = {end('y')}) AND {can(after, 'z')})"
-    fold = f"aggregate(ys, shiftleft(1L, length(word) + 1) - 1, (m, y) -> IF({can('m', 'y')}, {after} | IF({sooner}, {_MARK}, 0L), m))"
-    done = lattices.select("word", F.col("edges").alias("ys")).withColumn("m", F.expr(fold))
-    ids_of = "cast(shiftright(y, 1) & 1048575 AS int)"
-    pieces = f"transform(filter(ys, y -> (m & {inside('y')}) = 0 AND (m & {both('y')}) = {both('y')}), y -> struct({start('y')} AS s, array({ids_of}) AS ids))"
-    chars = f"filter(sequence(0, length(word) - 1), s -> (m & shiftleft(3L, s)) = shiftleft(3L, s) AND NOT exists(ys, y -> {start('y')} = s AND {end('y')} = s + 1))"
-    encoded = "hex(encode(substring(word, s + 1, 1), 'UTF-8'))"
-    missing = f"transform({chars}, s -> struct(s AS s, transform(sequence(0, length({encoded}) div 2 - 1), k -> cast(conv(substring({encoded}, 2 * k + 1, 2), 16, 10) AS int) + {base}) AS ids))"
-    ids = F.expr(f"flatten(transform(sort_array(concat({pieces}, {missing})), t -> t.ids))")
-    return done.select("word", F.when(F.col("m") < _MARK, ids).alias("ids"))
-
-
 def viterbi(lattices: DataFrame, unknown: int, penalty: float = 10.0) -> DataFrame:
     """(word, ids) by the greatest sum of scores; a character that no piece covers costs the worst score and penalty."""
     ready = lattices.withColumn("worst", F.expr(f"aggregate(edges, 0D, (w, x) -> least(w, cast(x.score AS double))) - {penalty}D"))
@@ -160,190 +105,294 @@ def viterbi(lattices: DataFrame, unknown: int, penalty: float = 10.0) -> DataFra
     return ready.select("word", F.expr(f"element_at({fold}, -1).ids").alias("ids"))
 
 
-def _by_library(model: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = library(model)
-        for batch in batches:
-            out = [sp.encode(w.as_py()[1:].replace(SPACE, " ")) if w.as_py()[:1] == SPACE else None for w in batch["word"]]
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(out, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return rows
-
-
-def encoded_words(words: DataFrame, model: str = MODEL) -> DataFrame:
-    """(word, ids) of distinct words."""
-    spark = words.sparkSession
-    rows = ranked(piece_rows(model))
-    pieces = spark.createDataFrame(rows, "piece string, id int, rank int, risky int")
-    short = words.where(F.length("word") <= LONGEST)
-    # hashed by word, so a word's edges are grouped where they are made; so few words to a task that groups fit its map
-    short = short.repartition(max(1, -(-short.count() // TASK_WORDS)), "word")
-    # written before it is filtered: a predicate on ids would be pushed below the fold and evaluate it for each element
-    with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_WORDS)):
-        folded = common.written(merged(lattice(short, pieces, max(len(r[0]) for r in rows), ranked_edge()), byte_base(model)), "folded-words")
-    other = words.where(F.length("word") > LONGEST).unionByName(folded.where("ids is null").select("word"))
-    return folded.where("ids is not null").unionByName(other.mapInArrow(_by_library(model), "word string, ids array<int>"))
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, per some 10^6 occurrences: the map side of a count."""
-    from collections import Counter
-
-    seen: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for text in batch["text"]:
-            seen.update(words_of(text.as_py()))
-            if len(seen) > 400_000:
-                yield out()
-                seen.clear()
-    if seen:
-        yield out()
-
-
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, n) of all words of all texts."""
-    found = docs.where("text is not null").select("text").mapInArrow(_distinct, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def decoded(ids, model: str = MODEL) -> str:
-    """The text of ids: pieces joined, runs of byte pieces as UTF-8, U+2581 as a space, the first of them dropped."""
-    pieces, base = _by_id(model), byte_base(model)
-    out, held = [], bytearray()
-    for i in ids:
-        if base <= i < base + 256:
-            held.append(i - base)
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(pieces[i])
-    out.append(held.decode("utf-8", "replace"))
-    return "".join(out).replace(SPACE, " ").removeprefix(" ")
+def unigram_words(words: DataFrame, pieces: DataFrame, longest: int, unknown: int = 0) -> DataFrame:
+    """(word, ids) of distinct words by a unigram model's pieces (piece, id, score)."""
+    return viterbi(lattice(words, pieces, longest), unknown)
+
+
+class Pieces:
+    """A BPE model's pieces as a trie: child() is the equi-join of (node, character); node 0 is no string at all."""
+
+    BITS, EMPTY = 18, np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, rows: list[tuple[str, int, float]], base: int):
+        self.base, self.longest = base, max(len(r[0]) for r in rows)
+        order = {x: k for k, x in enumerate(sorted({-r[2] for r in rows}))}
+        nodes: dict[str, int] = {"": 0}
+        for p, _, _ in rows:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        while len(nodes) * 4 > 1 << self.BITS:
+            self.BITS += 1
+        self.id, self.rank = np.full(len(nodes), -1, "i4"), np.full(len(nodes), NEVER, "i4")
+        for p, i, score in rows:
+            self.id[nodes[p]], self.rank[nodes[p]] = i, order[-score]
+        of = {p: order[-score] for p, _, score in rows}
+        # merges to a piece may be made at once in a segment unless a piece that begins or ends with it merges no later
+        self.alone = np.zeros(len(nodes), bool)
+        for z, r in of.items():
+            for k in range(1, len(z)):
+                for y in (z[:k], z[k:]):
+                    if of.get(y, -1) >= r:
+                        self.alone[nodes[y]] = True
+        self.first = np.zeros(0x110000, "i4")
+        keys, values = np.full(1 << self.BITS, self.EMPTY, "u8"), np.zeros(1 << self.BITS, "i4")
+        for p, node in nodes.items():
+            if len(p) == 1:
+                self.first[ord(p)] = node
+            elif p:
+                key = (nodes[p[:-1]] << 21) | ord(p[-1])
+                at = self._slot(key)
+                while keys[at] != self.EMPTY:
+                    at = (at + 1) & (len(keys) - 1)
+                keys[at], values[at] = key, node
+        self.keys, self.values = keys, values
+
+    def _slot(self, key: int) -> int:
+        return ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.BITS)
+
+    def child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node of each node's string and one more character, or 0."""
+        key = (node.astype("u8") << np.uint64(21)) | char
+        at = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype("i8")
+        seen = self.keys[at]
+        out = np.where(seen == key, self.values[at], 0)
+        open_ = np.flatnonzero((seen != key) & (seen != self.EMPTY))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            seen = self.keys[at[open_]]
+            out[open_] = np.where(seen == key[open_], self.values[at[open_]], 0)
+            open_ = open_[(seen != key[open_]) & (seen != self.EMPTY)]
+        return out
+
+    def edges(self, chars: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """node[l - 1, s] of the substring of l characters from s, or 0; end is where s's word ends."""
+        n = len(chars)
+        out = np.zeros((self.longest, n), "i4")
+        out[0] = self.first[chars]
+        at = np.flatnonzero(out[0])
+        node = out[0][at]
+        for l in range(2, self.longest + 1):
+            inside = at + l <= end[at]
+            at, node = at[inside], node[inside]
+            node = self.child(node, chars[at + l - 1])
+            found = node != 0
+            at, node = at[found], node[found]
+            if not len(at):
+                break
+            out[l - 1, at] = node
+        return out
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and where each word's begin (one more than words)."""
+        parts, sizes, i = [], [np.zeros(1, "i8")], 0
+        while i < len(words):
+            j, n = i, 0
+            while j < len(words) and (j == i or n + len(words[j]) <= BLOCK_CHARS):
+                n += len(words[j])
+                j += 1
+            ids, count = self._block(words[i:j])
+            parts.append(ids)
+            sizes.append(count)
+            i = j
+        return np.concatenate(parts) if parts else np.zeros(0, "i4"), np.cumsum(np.concatenate(sizes))
+
+    def _block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.fromiter(map(len, words), "i8", len(words))
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        lat = self.edges(chars, np.repeat(ends, lengths))
+        size = self.merged(lat, begins)
+        at = np.flatnonzero(size)
+        ids = self.id[lat[size[at] - 1, at]]
+        word = np.searchsorted(ends, at, "right")
+        lost = np.flatnonzero(ids < 0)
+        n = np.ones(len(ids), "i8")
+        if len(lost):  # characters without a piece: their bytes
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in chars[at[lost]].tolist()]
+            n[lost] = [len(x) for x in raw]
+            to = np.cumsum(n) - n
+            out = np.empty(n.sum(), "i4")
+            out[to] = ids
+            inside = np.repeat(to[lost], n[lost]) + np.concatenate([np.arange(len(x)) for x in raw])
+            out[inside] = np.frombuffer(b"".join(raw), "u1").astype("i4") + self.base
+            ids = out
+        return ids, np.bincount(word, n, len(words)).astype("i8")
+
+    def merged(self, lat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The fold: at each symbol's first character its length, elsewhere 0."""
+        n = lat.shape[1]
+        rank = self.rank
+        # borders that some edge goes over; all others part segments
+        over = np.zeros(n + 1, "i4")
+        for l in range(2, len(lat) + 1):
+            s = np.flatnonzero(rank[lat[l - 1]] != NEVER)
+            over[s + 1] += 1
+            over[s + l] -= 1
+        cut = np.cumsum(over[:n]) == 0
+        cut[begins] = True
+        final = np.ones(n, "i4")
+        sym = np.arange(n)
+        seg = np.cumsum(cut) - 1
+        many = np.bincount(seg)[seg] > 1
+        sym, seg = sym[many], seg[many]
+        size = np.ones(len(sym), "i4")
+
+        def pair(i: np.ndarray) -> np.ndarray:
+            """The node that joins symbol i and the next, or 0."""
+            out = np.zeros(len(i), "i4")
+            ok = i + 1 < len(sym)
+            ok[ok] = seg[i[ok]] == seg[i[ok] + 1]
+            j = i[ok]
+            both = size[j] + size[j + 1]
+            out[ok] = np.where(both <= len(lat), lat[np.minimum(both, len(lat)) - 1, sym[j]], 0)
+            return out
+
+        node = pair(np.arange(len(sym)))
+        for turn in range(ROUNDS + 1):
+            if not len(sym):
+                break
+            r = rank[node]
+            first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+            count = np.diff(np.r_[first, len(seg)])
+            best = np.minimum.reduceat(r, first)
+            live = best != NEVER
+            if not live.all():  # settled segments leave
+                stay = np.repeat(live, count)
+                gone = ~stay
+                final[sym[gone]] = size[gone]
+                sym, seg, size, node, r = (x[stay] for x in (sym, seg, size, node, r))
+                best, count = best[live], count[live]
+                if not len(sym):
+                    break
+                first = np.cumsum(count) - count
+            if turn == ROUNDS:
+                for i, j in zip(first.tolist(), (first + count).tolist(), strict=True):
+                    self._heaped(lat, sym[i:j].tolist(), size[i:j].tolist(), final)
+                break
+            hit = r == np.repeat(best, count)
+            at = np.flatnonzero(hit)
+            own = np.repeat(np.arange(len(first)), count)[at]
+            lead = np.r_[True, own[1:] != own[:-1]]
+            follows = np.r_[False, at[1:] == at[:-1] + 1]
+            at = at[lead | ~(self.alone[node[at]] | follows)]
+            drop = np.zeros(len(sym), bool)
+            drop[at + 1] = True
+            size[at] += size[at + 1]
+            final[sym[at + 1]] = 0
+            place = np.cumsum(~drop) - 1
+            keep = ~drop
+            sym, seg, size, node = sym[keep], seg[keep], size[keep], node[keep]
+            at = place[at]
+            node[at] = pair(at)
+            before = at[at > 0] - 1
+            node[before] = pair(before)
+        return final
+
+    def _heaped(self, lat: np.ndarray, sym: list[int], size: list[int], final: np.ndarray) -> None:
+        """The same fold of one long segment: the best pair from a heap, stale ones passed over."""
+        after = [*range(1, len(sym)), -1]
+        before = [-1, *range(len(sym) - 1)]
+
+        def push(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j >= 0 and (both := size[i] + size[j]) <= len(lat) and (r := int(self.rank[lat[both - 1, sym[i]]])) != NEVER:
+                heapq.heappush(heap, (r, sym[i], i, size[i], j, size[j]))
+
+        heap: list[tuple] = []
+        for i in range(len(sym)):
+            push(i)
+        while heap:
+            _, _, i, a, j, b = heapq.heappop(heap)
+            if size[i] != a or size[j] != b or after[i] != j:
+                continue
+            size[i], size[j], after[i] = a + b, 0, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        final[np.array(sym)] = size
 
 
 @functools.cache
-def _by_id(model: str) -> list[str]:
-    sp = library(model)
-    return ["" if sp.is_control(i) else sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-
-
-#: Digests are sums of (word's place + 1) * (word's weight) modulo this; a weight is a sum over its ids and their places.
-MODULUS = 2_147_483_647
+def pieces(model: str = MODEL) -> Pieces:
+    return Pieces(piece_rows(model), byte_base(model))
 
 
-def weight(ids) -> int:
-    return sum((64 * i + j + 1) % MODULUS for j, i in enumerate(ids)) % MODULUS
+def _encoder(model: str, at: int, names: list[str]):
+    """Adds ids to each batch of rows; at is the column of texts."""
 
-
-def _weighed(model: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(_by_id(model), pa.string())
+    def told(batches: list[pa.RecordBatch], words: dict[str, int], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, begin = pieces(model).encode(list(words))
+        k = 0
         for batch in batches:
-            if not len(batch):
-                continue
-            words, lists = batch["word"], batch["ids"]
-            flat = lists.flatten()
-            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("i8")
-            begin = np.concatenate([[0], np.cumsum(n)])
-            place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
-            total = np.concatenate([[0], np.cumsum((64 * flat.to_numpy(zero_copy_only=False).astype("i8") + place + 1) % MODULUS)])
-            weights = (total[begin[1:]] - total[begin[:-1]]) % MODULUS
-            # in the middle of a text a word keeps its first space; words with byte pieces differ here and are decoded
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pieces.take(flat)), "")
-            ok = pc.equal(joined, words).to_numpy(zero_copy_only=False).copy()
-            for i in np.flatnonzero(~ok):
-                ok[i] = " " + decoded(lists[i].as_py(), model) == words[i].as_py().replace(SPACE, " ")
-            yield pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(weights), pa.array(ok)], names=["word", "n", "weight", "ok"])
-
-    return rows
-
-
-def _hot_part(hot):
-    """A row for each text with what its hot words add (head), and one for each occurrence of another word."""
-    head = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("ok", pa.bool_())])
+            own = places[k : k + batch.num_rows]
+            k += batch.num_rows
+            w = np.concatenate(own) if own else np.zeros(0, "i4")
+            n = begin[w + 1] - begin[w]
+            flat = ids[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            ends = np.r_[0, np.cumsum(n)][np.cumsum([0, *map(len, own)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=[*names, "ids"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, weights, ok = hot.value
-
-        def out():
-            words = pa.array(cold + [f"\x00{k}" for k in keys], pa.string())
-            key = np.concatenate([np.repeat(np.array(keys, "i8"), sizes), np.array(keys, "i8")])
-            place = np.concatenate([*places, np.zeros(len(keys), "i8")])
-            return pa.RecordBatch.from_arrays([pa.array(key), words, pa.array(place), pa.array([None] * len(cold) + heads, head)], names=["k", "w", "place", "head"])
+        def fresh():
+            d: defaultdict = defaultdict()
+            d.default_factory = d.__len__
+            return d
 
-        cold, keys, sizes, places, heads = [], [], [], [], []
+        held, words, places, n, chars, start = [], fresh(), [], 0, 0, 0
         for batch in batches:
-            for d, k, text in zip(batch["doc_id"], batch["k"], batch["text"], strict=True):
-                words = words_of(text.as_py())
-                i = np.fromiter(map(at.get, words, repeat(-1)), "i4", len(words))
-                known, other = np.flatnonzero(i >= 0), np.flatnonzero(i < 0)
-                j = i[known]
-                digest = int(((known + 1) % MODULUS * weights[j] % MODULUS).sum()) % MODULUS
-                heads.append((d.as_py(), int(n[j].sum()), digest, bool(ok[j].all())))
-                keys.append(k.as_py())
-                sizes.append(len(other))
-                places.append(other + 1)
-                cold += [words[x] for x in other]
-                if len(cold) > 100_000:
-                    yield out()
-                    cold, keys, sizes, places, heads = [], [], [], [], []
-        if keys:
-            yield out()
+            start = 0
+            for i, text in enumerate(batch.column(at)):
+                t = text.as_py()
+                own = words_of(t)
+                places.append(np.fromiter(map(words.__getitem__, own), "i4", len(own)))
+                n += len(own)
+                chars += len(t or "")
+                if len(words) >= BATCH_WORDS or n >= BATCH_ALL or chars >= BATCH_CHARS:
+                    held.append(batch.slice(start, i + 1 - start))
+                    yield from told(held, words, places)
+                    held, words, places, n, chars, start = [], fresh(), [], 0, 0, i + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield from told(held, words, places)
 
     return rows
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-
+def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """docs with ids, an array: every row's whole text in the model's ids."""
+    docs = docs.drop("ids")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(_encoder(model, docs.columns.index("text"), docs.columns), schema)
 
-def digests(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
-    """doc_id, n_tokens, digest, round_trip of every row, from the encoding of the corpus's words.
 
-    A row's key is a 64-bit hash of doc_id and text; rows with equal keys and different doc_ids or hot words fail the
-    query rather than mix (expected once in some 10^10 documents).
-    """
-    spark = docs.sparkSession
-    known = common.written(vocabulary(docs), "words")
-    codes = common.written(encoded_words(known.select("word"), model).mapInArrow(_weighed(model), "word string, n long, weight long, ok boolean"), "word-codes")
-    top = known.orderBy(F.desc("n"), "word").limit(hot).select("word").join(codes, "word").collect()  # ``hot`` rows at most
-    held = spark.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(top)}, np.array([r["n"] for r in top], "i8"), np.array([r["weight"] for r in top], "i8"), np.array([r["ok"] for r in top], bool)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("k"), "text")
-    parts = rows.mapInArrow(_hot_part(held), "k long, w string, place long, head struct<doc_id: long, n: long, digest: long, ok: boolean>")
-    # One pass: rows of texts and of occurrences go through one join; texts' words are no words and have no partner. The
-    # side of the codes has a word once, so a task's share of it is bounded and makes the hash table.
-    both = parts.join(codes.select(F.col("word").alias("w"), "n", "weight", "ok").hint("shuffle_hash"), "w", "left")
-    n, ok = F.coalesce("head.n", "n"), F.coalesce("head.ok", "ok")
-    term = F.coalesce("head.digest", F.col("place") % MODULUS * F.col("weight") % MODULUS)
-    sums = both.select("k", n.alias("n"), term.alias("d"), ok.alias("ok"), "head.doc_id", F.hash("head").alias("h"), F.col("head").isNotNull().cast("long").alias("text"))
-    h = F.when(F.col("text") == 1, F.col("h"))
-    out = sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.min("ok").alias("ok"), F.sum("text").alias("texts"), F.max("doc_id").alias("doc_id"), F.min(h).alias("least"), F.max(h).alias("most"))
-    texts = F.when(F.col("least") == F.col("most"), F.col("texts")).otherwise(F.raise_error(F.lit("two different rows share a key")).cast("long"))
-    # rows with equal doc_id and text add up to a multiple of one
-    once = out.withColumn("texts", texts).select("doc_id", F.expr("n div texts").alias("n_tokens"), F.expr(f"d div texts % {MODULUS}").alias("digest"), F.col("ok").alias("round_trip"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("texts"))).alias("i"))
-    return once.drop("i")
+@functools.cache
+def _surfaces(model: str) -> str:
+    """What each id stands for, as hexadecimal UTF-8, by commas."""
+    sp = library(model)
 
+    def surface(i: int) -> bytes:
+        if sp.is_byte(i):
+            return bytes([i - byte_base(model)])
+        return b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else sp.id_to_piece(i).encode()
 
-def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids of each distinct (doc_id, text): every occurrence of a word joined to its ids, then put in order."""
+    return ",".join(surface(i).hex() for i in range(sp.get_piece_size()))
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(d.as_py(), t.as_py(), k, w) for d, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True) for k, w in enumerate(words_of(text.as_py()) or [None])]
-            cols = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "t", "place", "word"])
 
-    codes = common.written(encoded_words(common.written(vocabulary(docs), "words").select("word"), model), "word-ids")
-    rows = _keyed(docs).mapInArrow(occurrences, "doc_id long, t long, place long, word string").join(codes, "word", "left")
-    none = F.array().cast("array<int>")
-    parts = rows.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("place", F.coalesce("ids", none).alias("ids")))).alias("x"))
-    return parts.select("doc_id", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
+def decoded(ids: Column, model: str = MODEL) -> Column:
+    """The text of an array of ids: pieces and bytes joined, U+2581 as a space, the first of them dropped. Bytes that
+    are no UTF-8 become U+FFFD; ids that the model hasn't stand for nothing; null for null."""
+    table = F.split(F.lit(_surfaces(model)), ",")
+    raw = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    return F.replace(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), f"^{SPACE}", ""), F.lit(SPACE), F.lit(" "))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(common.table(spark, sf_dir, "documents"))
+    """doc_id, ids, n_tokens, round_trip (the ids decode to the text; U+2581 in a text is a space) of every row."""
+    docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
+    return encoded(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (decoded(F.col("ids")) == text).alias("round_trip"))

@@ -171,23 +171,45 @@ def test_lower_bounds_hold_and_beat_the_volume():
         assert packing.lower_bound(x, 100) <= len(packing.best_fit(x, 100)[2])
 
 
-def test_sentencepiece_equals_the_library(spark):
-    sp = sentencepiece.library()
-    texts = ["  lead and  trail  ", "a\tb\n\nc", "日本語 テスト €", "x" * 500 + " y", "", None, "    ", "é " * 20, "The quick brown fox, again."]
-    df = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
-    ids = {r.doc_id: r.ids for r in sentencepiece.encoded(df).collect()}
-    assert ids == {i: sp.encode(t or "") for i, t in enumerate(texts)}
-    assert all(sentencepiece.decoded(ids[i]) == (t or "") for i, t in enumerate(texts))
-    for hot in (2, 1000):
-        got = sentencepiece.digests(df, hot=hot).collect()
-        assert sorted((r.doc_id, r.n_tokens, r.round_trip) for r in got) == sorted([(i, len(ids[i]), True) for i in ids] + [(1, len(ids[1]), True)])
+def hostile():
+    rng = random.Random(1)
+    letters = "abcdefghij  \n\t.,'éüß日本👍0123456789=-_"
+    pieces = [p for p, _, _ in sentencepiece.piece_rows()]
+    own = ["  lead and  trail  ", "a\tb\n\nc", "日本語 テスト €", "x" * 500 + " y", "", None, "    ", "é " * 20, "The quick brown fox, again.", " " * 3000 + "x" + " " * 700, "a" * 3000, "日本語" * 400, "▁▁a▁b", "\x00a\x00", "😀👍🏽 \u200d", "ab" * 999 + "  " + "=-" * 300]
+    own += ["".join(rng.choices(letters, k=rng.randrange(1, 200))) for _ in range(200)]
+    return own + ["".join(rng.choices(pieces, k=rng.randrange(1, 60))) for _ in range(200)]
+
+
+def test_sentencepiece_equals_the_library_and_decodes(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece, "BLOCK_CHARS", 500)
+    sp, texts = sentencepiece.library(), hostile()
+    rows = [*enumerate(texts), (1, texts[1]), (None, texts[2])]
+    df = spark.createDataFrame([(d, t, "kept", [7]) for d, t in rows], "doc_id long, text string, n_tokens string, ids array<int>")
+    out = sentencepiece.encoded(df).withColumn("back", sentencepiece.decoded(F.col("ids"))).collect()
+    assert sorted(((r.doc_id, r.text, r.ids) for r in out), key=key) == sorted(((d, t, sp.encode(t or "")) for d, t in rows), key=key)
+    assert all(r.back == (r.text or "").replace("▁", " ") == sp.decode(r.ids) and r.n_tokens == "kept" for r in out)
+
+
+def test_decoding_equals_the_library_on_any_ids(spark):
+    sp, rng = sentencepiece.library(), random.Random(3)
+    lists = [[rng.randrange(259, sp.get_piece_size()) for _ in range(n)] for n in (0, 1, 2, 5, 40)] + [[0], [1, 2], [29871, 29871], [3 + 0xE6, 3 + 0x97, 3 + 0xA5], [3 + 0xFF]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<int>")
+    got = {r.i: r.t for r in df.select("i", sentencepiece.decoded(F.col("ids")).alias("t")).collect()}
+    assert got == {i: sp.decode(x) for i, x in enumerate(lists)}
+
+
+def test_long_segments_fold_over_a_heap_alike(monkeypatch):
+    words = [w for t in hostile() for w in sentencepiece.words_of(t)]
+    want = [x.tolist() for x in sentencepiece.pieces().encode(words)]
+    monkeypatch.setattr(sentencepiece, "ROUNDS", 1)
+    assert [x.tolist() for x in sentencepiece.pieces().encode(words)] == want
 
 
 def test_viterbi_takes_the_best_sum(spark):
     pieces = [("▁", 1, -2.0), ("a", 2, -1.0), ("b", 3, -1.0), ("ab", 4, -1.5), ("▁a", 5, -0.1), ("bc", 6, -9.0)]
     table = spark.createDataFrame(pieces, "piece string, id int, score double")
     words = spark.createDataFrame([("▁ab",), ("▁abc",), ("▁b",)], "word string")
-    got = {r.word: r.ids for r in sentencepiece.viterbi(sentencepiece.lattice(words, table, 4, sentencepiece.scored_edge()), 0).collect()}
+    got = {r.word: r.ids for r in sentencepiece.unigram_words(words, table, 4).collect()}
     assert got == {"▁ab": [5, 3], "▁abc": [5, 6], "▁b": [1, 3]}
 
 
@@ -220,7 +242,7 @@ EMPTY = [
     lambda d: simhash_dedup.near_duplicates(d),
     lambda d: token_counts.counted(d),
     lambda d: packing.packed(d),
-    lambda d: sentencepiece.digests(d),
+    lambda d: sentencepiece.encoded(d),
     lambda d: license_scan.scanned(d),
 ]
 
