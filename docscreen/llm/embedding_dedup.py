@@ -1,40 +1,49 @@
 """Operator 6, embedding near-dedup: collision-counting projections within a label.
 
-Equal vectors of a label are one class with a multiplicity, so copies cost nothing. Unit vectors are projected on
-``PROJECTIONS`` random Gaussian directions. For two of them at distance d the difference of a projection is normal with
-deviation d, so at the largest linking distance D a difference is within WINDOW * D with a known probability p or more.
-A pair collides in a projection if it is; the count it must reach is the largest that a binomial(PROJECTIONS, p) misses
-with probability MISS at most, so recall at the threshold itself is 1 - MISS in expectation and higher above it. Pairs
-that reach it are verified by their cosine in double precision.
-
-Plan. The label's rows are sorted on their first two projections into a grid of blocks by approximate quantiles, so a
-label with a third of all rows is many blocks, and block pairs are the tasks. Directions of the grid have unit length:
-blocks further apart than D in one of them hold no link at all (Cauchy-Schwarz) and aren't paired. A block is one row
-with its vectors packed. A block pair returns, for each class that links in it, its links and the smallest class that
-it reaches there: never pairs. common.components joins these stars.
+Equal vectors of a label are one class with a multiplicity, so copies cost nothing. Unit vectors are projected on random
+Gaussian directions. A projection is sorted at its two ends alone, where a share ``q`` of all vectors lies: there a
+window around a query holds few others. For two unit vectors of cosine c their values in a direction are normal with
+correlation c, so both lie in one end, within the window of each other, with a known probability; over independent
+directions the collisions of a pair are binomial. Directions are so many that a pair at the threshold collides SHARE
+times on average, and the count that a candidate must reach is the largest that such a pair misses with probability
+MISS at most. Pairs that reach it are verified by their cosine in double precision.
+
+``q`` follows the largest label: an end should hold ``members`` vectors of it, so lists stay short and unlike vectors
+that collide stay in proportion to a label's size, not to its square. Where that takes more than DIRECTIONS directions,
+two independent sets are combined: a vector is listed under each combination of its ends, and shares multiply. Beyond
+some 10^6 vectors of a label lists grow longer than that, and the work with them.
+
+Plan. Rows of (list, value, class) are sorted by list and value; a list holds the pairs of each query's window; Spark
+counts a pair over all lists. A list of over ``limit`` rows (many vectors that are nearly the same) is cut into salts,
+each pair of salts a task's work. Vectors meet the pairs that reach the count alone. common.components joins the links.
+A cluster of m different vectors that all link costs its m * m / 2 links: they are counted one by one.
 
 Vectors of different lengths are never compared; each length is run for itself, one after the other.
 
-Defined cases: null, empty, zero vectors and those with null or non-finite components and rows with a null label link with nothing: n_links 0, component_id = vec_id, kept. Rows with a null
-vec_id take no part and have null ids (kept is false). Rows are judged by their vectors: repeated
-rows link as other vectors do, and a vec_id with two vectors has a row for each.
+Defined cases: null, empty and zero vectors, those with null or non-finite components, and rows with a null label link
+with nothing: n_links 0, component_id = vec_id, kept. Rows with a null vec_id take no part and have null ids (kept is
+false). Rows are judged by their vectors: repeated rows link as other vectors do, and a vec_id with two vectors has a row
+for each. Further columns are left out, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscreen.llm import common, vectors
 
-LEAST, PROJECTIONS, WINDOW, MISS, SEED = 0.93, 64, 1.5, 1e-7, 11
-BLOCK = 1024
+LEAST, SHARE, MISS, WINDOW, SEED = 0.93, 24.0, 1e-7, 1.5, 11
+#: Directions of a set at most, vectors of a label that an end should hold, rows of a list that one task pairs.
+DIRECTIONS, MEMBERS, LIMIT = 8192, 16, 2048
+#: The largest share of vectors in an end, and pairs that a task holds at a time.
+WIDEST, HELD = 0.1, 1 << 20
 
 
 def reach(least: float) -> float:
@@ -42,92 +51,143 @@ def reach(least: float) -> float:
     return math.sqrt(2 - 2 * least)
 
 
-def needed(projections: int = PROJECTIONS, window: float = WINDOW, miss: float = MISS) -> int:
-    """The count that a pair at the threshold's distance reaches but with probability ``miss``."""
-    p, tail = math.erf(window / math.sqrt(2)), 0.0
-    for k in range(projections + 1):
-        tail += math.comb(projections, k) * p**k * (1 - p) ** (projections - k)
-        if tail > miss:
-            return k
-    return projections
+def both_in(bar: float, cosine: float, window: float) -> float:
+    """The probability that values of correlation ``cosine`` lie in one of the two ends, a window from each other at most."""
+    u = np.linspace(bar, bar + 8, 4001)
+    cdf = np.vectorize(NormalDist().cdf)
+    s = math.sqrt(1 - cosine * cosine)
+    inside = cdf((u + window - cosine * u) / s) - cdf((np.maximum(bar, u - window) - cosine * u) / s)
+    return float(2 * np.trapezoid(np.exp(-u * u / 2) / math.sqrt(2 * math.pi) * np.maximum(inside, 0), u))
+
+
+def needed(n: int, p: float, sets: int, miss: float = MISS) -> int:
+    """The largest count that a product of ``sets`` binomials (n, p) misses with probability ``miss`` at most; 1 at least."""
+    pmf = np.exp([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(min(n, 200) + 1)])
+    product = {1: 1.0}
+    for _ in range(sets):
+        after: dict[int, float] = {}
+        for a, x in product.items():
+            for k, y in enumerate(pmf):
+                if y > 1e-15 and a * k < 64:
+                    after[a * k] = after.get(a * k, 0.0) + x * float(y)
+        product = after
+    count = 1
+    while count < 60 and sum(x for c, x in product.items() if c < count + 1) <= miss:
+        count += 1
+    return count
+
+
+class Plan:
+    """How many directions, where their ends begin, and the count that a pair must reach; from the largest label's size."""
+
+    def __init__(self, largest: int, least: float, members: int = MEMBERS, directions: int = DIRECTIONS):
+        self.window, cosine = WINDOW * reach(least), min(max(least, 0.0), 1 - 1e-9)
+        for self.sets, wider in ((1, 1.0), *((2, 1.2**k) for k in range(60))):
+            share = min(WIDEST, wider * (members / max(largest, 1)) ** (1 / self.sets))
+            self.bar = NormalDist().inv_cdf(1 - share)
+            p = both_in(self.bar, cosine, self.window)
+            self.n = math.ceil(SHARE / p)
+            if self.n <= directions or share == WIDEST:
+                break
+        self.count = needed(self.n, p, self.sets)
+
+
+def _ends(width: int, plan: Plan):
+    """A row (l, p, cid) for each list that a vector is in; p is its value in the first set's direction."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = np.random.default_rng(SEED).normal(size=(plan.sets, width, plan.n)).astype("f4")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                x = vectors.matrix(part["v"])
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+                row, lists, value = np.arange(len(x)), np.zeros(len(x), "i8"), None
+                for own in d:
+                    y = x @ own
+                    r, k = np.nonzero(np.abs(y) >= plan.bar)
+                    v = y[r, k]
+                    if value is None:
+                        row, lists, value = r, 2 * k + (v > 0), np.abs(v)
+                        continue
+                    begin = np.searchsorted(r, np.arange(len(x) + 1))
+                    n = np.diff(begin)[row]
+                    at = np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    lists = np.repeat(lists, n) * (2 * plan.n) + 2 * k[at] + (v[at] > 0)
+                    row, value = np.repeat(row, n), np.repeat(value, n)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part["label"].take(at), pa.array(lists), pa.array(value, pa.float32()), part["cid"].take(at)], names=["label", "l", "p", "cid"])
 
-def directions(width: int) -> np.ndarray:
-    return np.random.default_rng(SEED).normal(size=(width, PROJECTIONS))
+    return rows
 
 
-def _grid(width: int):
-    """Adds the two grid projections, along unit directions."""
-    d = directions(width)[:, :2]
-    d = d / np.linalg.norm(d, axis=0)
+def _windows(window: float):
+    """Rows sorted by (h, p): the pairs of each row and those of its list behind it within the window."""
+
+    def paired(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, p, cid, salt, cross = (np.concatenate(x) for x in zip(*parts, strict=True))
+        group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        # one order for all lists: values are below 64, so a list's are apart from the next one's
+        key = group * 64.0 + p
+        n = np.searchsorted(key, np.minimum(key + window, group * 64.0 + 63), "right") - np.arange(len(key)) - 1
+        turn = np.r_[0, np.cumsum(n) // HELD]
+        for t in np.unique(turn[1:][n > 0]):
+            i = np.flatnonzero((turn[1:] == t) & (n > 0))
+            a = np.repeat(i, n[i])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+            keep = (cid[a] != cid[b]) & (~cross[a] | (salt[a] != salt[b]))
+            x, y = cid[a[keep]], cid[b[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            x = vectors.matrix(batch["v"]) if batch.num_rows else np.zeros((0, width))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            y = x @ d
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y[:, 0]), pa.array(y[:, 1])], names=[*batch.schema.names, "p", "q"])
+            if not batch.num_rows:
+                continue
+            now = tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("h", "p", "cid", "s", "cross"))
+            if held and held[-1][0][-1] != now[0][0]:
+                yield from paired(held)
+                held = []
+            cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
+            if cut:
+                yield from paired([*held, tuple(x[:cut] for x in now)])
+                held = []
+            held.append(tuple(x[cut:] for x in now))
+        if held:
+            yield from paired(held)
 
     return rows
 
 
-def _packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("cid")
-    x = np.stack(rows["v"].to_numpy()).astype("f8")
-    return pd.DataFrame({"label": [key[0]], "block": [key[1]], "cids": [rows["cid"].to_numpy("i8").tobytes()], "mults": [rows["mult"].to_numpy("i8").tobytes()], "x": [x.tobytes()], "p0": [rows["p"].min()], "p1": [rows["p"].max()], "q0": [rows["q"].min()], "q1": [rows["q"].max()]})
-
-
-def _pairs(width: int, least: float):
-    need, limit = needed(), WINDOW * reach(least)
-    d = directions(width)
+def _salted(lists: DataFrame, limit: int, n: int) -> DataFrame:
+    """h, p, cid, s, cross: rows by the list, or by the pair of salts of a long list, that they are paired in."""
+    sizes = lists.groupBy("label", "l").count().where(F.col("count") > limit).select(F.col("label").alias("__label"), F.col("l").alias("__l"), F.ceil(F.col("count") / limit).cast("int").alias("cuts"))
+    both = lists.join(sizes, (F.col("label") == F.col("__label")) & (F.col("l") == F.col("__l")), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    both = both.withColumn("s", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    own = F.xxhash64("label", "l", F.least("s", "t"), F.greatest("s", "t"))
+    return both.select(own.alias("h"), "p", "cid", "s", (F.col("s") != F.col("t")).alias("other")).withColumn("cross", F.col("other"))
 
-    def unit(raw: bytes) -> np.ndarray:
-        x = np.frombuffer(raw, "f8").reshape(-1, width)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+def _verified(least: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                own = r["i"] == r["j"]
-                a, b = unit(r["xi"]), unit(r["xj"])
-                pa_, pb = (a @ d).astype("f4"), (b @ d).astype("f4")
-                n = np.zeros((len(a), len(b)), "u1")
-                for k in range(PROJECTIONS):
-                    n += np.abs(pa_[:, k, None] - pb[None, :, k]) <= limit
-                s, t = np.nonzero(n >= need)
-                if own:
-                    s, t = s[s < t], t[s < t]
-                keep = np.concatenate([np.einsum("ij,ij->i", a[s[m : m + 65536]], b[t[m : m + 65536]]) >= least for m in range(0, len(s), 65536)] or [np.zeros(0, bool)])
-                s, t = s[keep], t[keep]
-                ci, cj = (np.frombuffer(r[x], "i8") for x in ("ci", "cj"))
-                mi, mj = (np.frombuffer(r[x], "i8") for x in ("mi", "mj"))
-                # local nodes: the first block's rows, then the second's
-                shift = 0 if own else len(a)
-                ids, links = (ci, np.zeros(len(ci), "i8")) if own else (np.r_[ci, cj], np.zeros(len(ci) + len(cj), "i8"))
-                t_ = t + shift
-                np.add.at(links, s, mj[t])
-                np.add.at(links, t_, mi[s])
-                root = ids.copy()
-                while True:
-                    low = root.copy()
-                    np.minimum.at(low, s, root[t_])
-                    np.minimum.at(low, t_, root[s])
-                    if (low == root).all():
-                        break
-                    root = low
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(root[at])], names=["cid", "links", "root"])
+            if not batch.num_rows:
+                continue
+            x, y = vectors.matrix(batch["va"]), vectors.matrix(batch["vb"])
+            x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
+            ok = pa.array(np.einsum("ij,ij->i", x, y) >= least)
+            yield pa.RecordBatch.from_arrays([batch[c].filter(ok) for c in ("a", "b", "ma", "mb")], names=["a", "b", "ma", "mb"])
 
     return rows
 
 
-def linked(rows: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def linked(rows: DataFrame, least: float = LEAST, members: int = MEMBERS, limit: int = LIMIT, directions: int = DIRECTIONS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     fit = rows.where(vectors.usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     told = None
     for width in vectors.widths(fit, "v"):
-        own = _classes(fit.where(F.size("v") == width), width, least, block)
+        own = _classes(fit.where(F.size("v") == width), width, least, members, limit, directions)
         told = own if told is None else told.unionByName(own)
     if told is None:
         return _told(rows.select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("c")))
@@ -135,36 +195,31 @@ def linked(rows: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFra
     return _told(own.unionByName(rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("c"))))
 
 
-def _classes(fit: DataFrame, width: int, least: float, block: int) -> DataFrame:
-    """__label, __v, n, c: links and component of each different vector of one length under a label."""
-    classes = fit.groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
-    classes = common.written(classes.mapInArrow(_grid(width), f"label {classes.schema['label'].dataType.simpleString()}, v array<double>, cid long, mult long, p double, q double"), "vector-classes")
-    side = F.ceil(F.sqrt(F.col("n") / block))
-    sizes = classes.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("p", _GRID, 10_000).alias("ps"), F.percentile_approx("q", _GRID, 10_000).alias("qs")).withColumn("side", side)
-    cell = lambda v, qs: F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.col("side") - 1, F.lit(1)).cast("int")), lambda i: F.when((i < F.col("side")) & (F.col(v) > F.get(F.col(qs), (i * len(_GRID) / F.col("side")).cast("int"))), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    placed = classes.join(sizes, "label").withColumn("block", (cell("p", "ps") * F.col("side") + cell("q", "qs")).cast("long"))
-    # a cell that holds more than expected is cut by a hash: bounded blocks, whatever the distribution
-    counts = placed.groupBy("label", "block").agg(F.ceil(F.count("*") / (2 * block)).alias("cuts"))
-    placed = placed.join(counts, ["label", "block"]).withColumn("block", F.col("block") * (1 << 24) + F.pmod(F.xxhash64("cid"), F.col("cuts")))
+def candidates(classes: DataFrame, width: int, plan: Plan, limit: int = LIMIT) -> DataFrame:
+    """(a, b, n): the pairs of classes (label, v, cid) that collide in n lists, plan.count at least."""
+    n = common.partitions(classes, 1 << 20)
     kind = classes.schema["label"].dataType.simpleString()
-    packed = common.written(placed.select("label", "block", "cid", "mult", "v", "p", "q").groupBy("label", "block").applyInPandas(_packed, f"label {kind}, block long, cids binary, mults binary, x binary, p0 double, p1 double, q0 double, q1 double"), "vector-blocks")
-    a = packed.select("label", F.col("block").alias("i"), "p0", "p1", "q0", "q1")
-    b = packed.select("label", F.col("block").alias("j"), *(F.col(x).alias(f"{x}_") for x in ("p0", "p1", "q0", "q1")))
-    far = reach(least) + 1e-9
-    apart = lambda x: F.greatest(F.col(f"{x}0_") - F.col(f"{x}1"), F.col(f"{x}0") - F.col(f"{x}1_")) > far
-    pairs = a.join(b, "label").where((F.col("i") <= F.col("j")) & ~apart("p") & ~apart("q")).select("label", "i", "j")
-    left = packed.select("label", F.col("block").alias("i"), F.col("cids").alias("ci"), F.col("mults").alias("mi"), F.col("x").alias("xi"))
-    right = packed.select("label", F.col("block").alias("j"), F.col("cids").alias("cj"), F.col("mults").alias("mj"), F.col("x").alias("xj"))
-    n = int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = pairs.join(left, ["label", "i"]).join(right, ["label", "j"]).select("i", "j", "ci", "mi", "xi", "cj", "mj", "xj").repartition(n)
-    stars = common.checkpoint(work.mapInArrow(_pairs(width, least), "cid long, links long, root long").groupBy("cid", "root").agg(F.sum("links").alias("links")))
-    same = common.components(stars.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    links = stars.groupBy("cid").agg(F.sum("links").alias("links"))
-    told = classes.select("label", "v", "cid", "mult").join(links, "cid", "left").join(same, F.col("cid") == same["node"], "left")
-    return told.select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "cid").alias("c"))
-
-
-_GRID = [i / 256 for i in range(1, 256)]
+    lists = common.written(classes.select("label", "v", "cid").mapInArrow(_ends(width, plan), f"label {kind}, l long, p float, cid long"), "vector-ends")
+    dealt = _salted(lists, limit, n).select("h", "p", "cid", "s", "cross").repartition(n, "h").sortWithinPartitions("h", "p", "cid")
+    return dealt.mapInArrow(_windows(plan.window), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= plan.count)
+
+
+def _classes(fit: DataFrame, width: int, least: float, members: int, limit: int, directions: int) -> DataFrame:
+    """__label, __v, n, c: links and component of each different vector of one length under a label."""
+    classes = common.written(fit.groupBy("label", "v").agg(F.min("vec_id").alias("m"), F.count("*").alias("mult")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    plan = Plan(classes.groupBy("label").count().agg(F.max("count")).first()[0], least, members, directions)
+    met = candidates(classes, width, plan, limit)
+    left = classes.select(F.col("cid").alias("a"), F.col("label").alias("la"), F.col("v").alias("va"), F.col("m").alias("ma"), F.col("mult").alias("na"))
+    right = classes.select(F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("v").alias("vb"), F.col("m").alias("mb"), F.col("mult").alias("nb"))
+    pairs = met.join(left, "a").join(right, "b").where("la = lb").select("a", "b", "va", "vb", F.struct(F.col("ma").alias("m"), F.col("na").alias("n")).alias("ma"), F.struct(F.col("mb").alias("m"), F.col("nb").alias("n")).alias("mb"))
+    one = "struct<m: long, n: long>"
+    links = common.checkpoint(pairs.mapInArrow(_verified(least), f"a long, b long, ma {one}, mb {one}"))
+    same = common.components(links.select("a", "b"))
+    ends = links.select(F.col("a").alias("cid"), F.col("mb.n").alias("n")).unionByName(links.select(F.col("b").alias("cid"), F.col("ma.n").alias("n")))
+    links_of = ends.groupBy("cid").agg(F.sum("n").alias("links"))
+    told = classes.join(links_of, "cid", "left").join(same, F.col("cid") == same["node"], "left").withColumn("component", F.coalesce("component", "cid"))
+    first = told.groupBy("component").agg(F.min("m").alias("c"))
+    return told.join(first, "component").select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), "c")
 
 
 def _told(rows: DataFrame) -> DataFrame:

@@ -23,10 +23,11 @@ def vectors(n=240, width=16, seed=0):
 ODD = [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [None] + [1.0] * 15, 0), (2004, vectors()[150][1], None), (2005, [1.0, 2.0], 0), (2100, [float("inf")] * 16, 1)]
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_links_equal_brute_force(spark, block):
+@pytest.mark.parametrize("bounds", [{}, {"limit": 5}, {"members": 2, "directions": 300}, {"members": 2, "directions": 300, "limit": 6}])
+def test_links_equal_brute_force(spark, bounds):
+    """Bounds that cut long lists into salts, and such that combine two sets of directions."""
     rows = vectors() + ODD
-    got = {r.vec_id: r for r in embedding_dedup.linked(spark.createDataFrame(rows, VECTORS), block=block).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.linked(spark.createDataFrame(rows, VECTORS), **bounds).collect()}
     fit = [r for r in vectors()]
     x = np.array([r[1] for r in fit], "f8")
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -45,6 +46,35 @@ def test_links_equal_brute_force(spark, block):
     assert all((got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (0, r[0], True) for r in ODD)
 
 
+def test_sets_of_directions_follow_the_largest_label():
+    plans = [embedding_dedup.Plan(n, 0.93) for n in (1, 500, 5000, 100_000, 10_000_000)]
+    assert [p.sets for p in plans] == sorted(p.sets for p in plans) and plans[0].sets == 1 and plans[-1].sets >= 2
+    assert all(p.n <= embedding_dedup.DIRECTIONS and p.count >= 1 for p in plans)
+
+
+def test_the_count_is_calibrated():
+    """Pairs at the threshold reach the count; pairs of unlike vectors hardly do."""
+    plan, rng = embedding_dedup.Plan(2000, 0.93), np.random.default_rng(5)
+    d = rng.normal(size=(plan.n, 2))
+    counts = {0.93: [], 0.0: []}
+    for _ in range(300):
+        u = rng.normal(size=(plan.n, 2))
+        for c in counts:
+            x, y = u[:, 0], c * u[:, 0] + np.sqrt(1 - c * c) * u[:, 1]
+            both = (np.abs(x) >= plan.bar) & (np.abs(y) >= plan.bar) & (x * y > 0) & (np.abs(x - y) <= plan.window)
+            counts[c].append(both.sum())
+    assert len(d) == plan.n and abs(np.mean(counts[0.93]) - embedding_dedup.SHARE) < 1.5
+    assert min(counts[0.93]) >= plan.count > np.mean(counts[0.0]) * 2
+
+
+def test_unlike_vectors_are_hardly_paired(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 64))
+    classes = spark.createDataFrame([(0, [float(v) for v in r], i) for i, r in enumerate(x)], "label int, v array<double>, cid long")
+    met = embedding_dedup.candidates(classes, 64, embedding_dedup.Plan(2000, 0.93))
+    assert met.count() < 0.01 * 2000 * 2000 / 2
+
+
 SHORT = [(3000 + i, [1.0, 2.0, 0.001 * i], 0) for i in range(3)] + [(3010, [-1.0, 0.5, 0.0], 0), (3011, [1.0, 2.0, 0.0], 1), (3020, [2.0], 1), (3021, [3.0], 1)]
 
 
@@ -77,6 +107,31 @@ def test_nearest_equal_brute_force_on_small_inputs(spark):
     assert {r.query_id for r in got} == {0, 100, 200, 1000}
 
 
+def test_recall_without_structure_is_measured(spark):
+    """op8's own table: no brute force in disguise, and the recall that the index reports holds for the queries."""
+    rows = common.table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    got = ann.searched(rows, rows.where("vec_id % 10 = 0")).collect()
+    data = {r.vec_id: np.array(r.embedding, "f8") for r in rows.collect()}
+    ids, x = np.array(list(data)), np.stack(list(data.values()))
+    hit = asked = 0
+    for q in (i for i in data if i % 10 == 0):
+        d = ((x - data[q]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hit += len(set(ids[np.argsort(d)[:10]].tolist()) & {r.vec_id for r in got if r.query_id == q})
+        asked += 10
+    assert hit / asked >= 0.9 and got[0].probes < got[0].partitions and abs(got[0].measured_recall - hit / asked) < 0.05
+
+
+def test_partitions_are_fitted_once_more_where_rows_are_many(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST", 4)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.searched(df, df.where("vec_id % 100 = 0")).collect()
+    hit = sum(r.vec_id in set(np.argsort(np.r_[((x - x[r.query_id]) ** 2).sum(1)])[1:11].tolist()) for r in got)
+    assert got[0].partitions > 4 and got[0].probes < got[0].partitions and len(got) == 400 and hit / 400 >= 0.9
+
+
 def test_recall_with_partitions(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 24))
