@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docscreen.llm import common, vectors
 
-K, SAMPLE, DEGREE, BLOCK, RECALL = 10, 12_000, 10, 4096, 0.94
+K, SAMPLE, DEGREE, BLOCK, RECALL = 10, 10_000, 10, 4096, 0.94
 HIDDEN, EPOCHS, RATE, SEED = 96, 40, 3e-3, 5
 #: Sample vectors that a partition needs, rows it should have, partitions that a router tells at most.
 EACH, ROWS_EACH, MOST = 64, 128, 128
@@ -96,8 +96,8 @@ def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row."""
     n, out = len(x), []
     sq = (x * x).sum(1)
-    for i in range(0, n, 1024):
-        d = sq[None] - 2 * x[i : i + 1024] @ x.T
+    for i in range(0, n, 128):
+        d = sq[None] - 2 * x[i : i + 128] @ x.T
         d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
         out.append(np.argpartition(d, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)])
     return np.concatenate(out)
