@@ -6,13 +6,17 @@ a fingerprint's bit is 1 if it is set in over half the hashes.
 
 Plan. Distinct fingerprints alone take part (grouped with a partial aggregate, so copies cost nothing). Two fingerprints
 within 3 bits agree in one of four blocks of 16 bits, so each goes to four groups (block, value). A group larger than
-``group_limit`` is split into salts, and each pair of salts is a group of its own; no link is lost. In a group a binary
-trie over the sorted fingerprints is joined with itself: node pairs are traversed together, differing bits add up, and a
-pair of nodes goes when the sum exceeds the budget. A node pair whose fingerprints are all connected already is dropped
-too, so a dense cluster costs no square. Groups emit a star for each local component; common.components joins the stars.
-
-Defined cases: null and empty texts have fingerprint zero and link like any other; rows with a null doc_id get a
-fingerprint and no component (null); repeated doc_ids are one node; an empty table gives an empty table.
+``group_limit`` goes down a level: the bits that its blocks have left are cut into four blocks again, of which two within
+3 bits agree in one, so each row goes to four smaller groups; after LEVELS levels what is still too large is split into
+salts, and each pair of salts is a group of its own. No link is lost. In a group a binary trie over the sorted
+fingerprints is joined with itself: node pairs are traversed together, differing bits add up, and a pair of nodes goes
+when the sum exceeds the budget. A node pair whose fingerprints are all connected already is dropped too, so a dense
+cluster costs no square. Groups emit a star for each local component; common.components joins the stars.
+
+Defined cases: null and empty texts have fingerprint zero and link like any other; a doc_id with several texts is one
+node: what links to one of them is one component; rows with a null doc_id link like others and get the smallest doc_id
+that they reach, or null; repeated rows get the same result each; an empty table gives an empty table; texts of any
+length are read whole; further columns are kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docscreen.llm import common
 
 BITS, BLOCKS, BUDGET, SHINGLE, SEED = 64, 4, 3, 3, 42
-GROUP_LIMIT = 4000
+GROUP_LIMIT, LEVELS = 4000, 4
 #: Node pairs that the traversal expands at a time, and the product of sizes at which a pair is compared directly.
 CHUNK, LEAF = 1 << 18, 32
 
@@ -47,15 +52,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
+    """docs with one more column: the fingerprint's 64 bits as a signed long."""
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py()) for x in batch["text"]], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py()) for x in batch.column(at)], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -139,13 +145,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def joined(parts):
-        g, fp, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
+        g, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
         edges_a, edges_b = [], []
         starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(g)])
         for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            f, first = np.unique(fp[s : s + n], return_index=True)
-            r = rep[s : s + n][first]
+            f = np.unique(fp[s : s + n])
+            r = f.view("i8")
             if len(f) == 2:
                 root = np.array([0, 0]) if int(f[0] ^ f[1]).bit_count() <= BUDGET else np.array([0, 1])
             else:
@@ -160,49 +166,90 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         g = np.stack([batch[k].to_numpy(zero_copy_only=False).astype("i8") for k in ("g1", "g2")], axis=1)
-        fp, rep = batch["fp"].to_numpy().view("u8"), batch["rep"].to_numpy()
+        fp = batch["fp"].to_numpy().view("u8")
         last = np.flatnonzero((g != g[-1]).any(axis=1))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
-            yield joined([*held, (g[:cut], fp[:cut], rep[:cut])])
+            yield joined([*held, (g[:cut], fp[:cut])])
             held = []
         elif held and (held[-1][0][-1] != g[0]).any():
             yield joined(held)
             held = []
-        held.append((g[cut:], fp[cut:], rep[cut:]))
+        held.append((g[cut:], fp[cut:]))
     if held:
         yield joined(held)
 
 
-def links(reps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Edges (a, b) between representatives, enough to connect all that link: stars of each group's components."""
-    n = common.partitions(reps)
-    blocks = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).alias("v")) for k in range(BLOCKS)))
-    cells = reps.select("fp", "rep", F.explode(blocks).alias("c")).select("fp", "rep", (F.col("c.k") * 65536 + F.col("c.v")).alias("g1"))
-    sizes = cells.groupBy("g1").count().where("count > 1")  # at most 4 * 65536 rows, whatever the input
-    salts = F.ceil(F.col("count") / group_limit).cast("long")
-    cells = cells.join(F.broadcast(sizes), "g1").withColumn("n", salts).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("n")))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 2, F.lit(0))), lambda t: t + F.when((t >= F.col("s")) & (F.col("n") > 1), 1).otherwise(0))
-    spread = cells.select("fp", "rep", "g1", "s", F.explode(pair).alias("t"), "n").withColumn("g2", F.least("s", "t") * F.col("n") + F.greatest("s", "t"))
-    dealt = spread.select("g1", "g2", "fp", "rep").repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "fp")
+def masks(levels: int = LEVELS) -> list[list[int]]:
+    """For each level the bits that its groups agree in, by path: four blocks of the bits that are left, each time."""
+
+    def blocks(used: int) -> list[int]:
+        left = [i for i in range(BITS) if not used >> i & 1]
+        ends = [len(left) * k // BLOCKS for k in range(BLOCKS + 1)]
+        return [used | sum(1 << i for i in left[ends[k] : ends[k + 1]]) for k in range(BLOCKS)]
+
+    out = [blocks(0)]
+    while len(out) < levels:
+        out.append([x for used in out[-1] for x in blocks(used)])
+    return out
+
+
+def links(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fp, enough to connect all that link: stars of groups' components."""
+    n = common.partitions(fps, 4 << 20)
+    signed = lambda xs: F.lit([x - (1 << 64) if x >> 63 else x for x in xs])
+    level, groups = fps.select("fp", F.lit(0).alias("path")), None
+    for depth, own in enumerate(masks()):
+        level = level.withColumn("path", F.explode(F.sequence(F.col("path") * BLOCKS, F.col("path") * BLOCKS + BLOCKS - 1)))
+        level = level.withColumn("v", F.col("fp").bitwiseAND(F.get(signed(own), F.col("path"))))
+        sizes = level.groupBy("path", "v").agg(F.count("*").alias("count")).where(F.col("count") > group_limit)
+        sizes = common.checkpoint(sizes)
+        placed = F.lit(depth * BLOCKS**LEVELS) + F.col("path")
+        if sizes.isEmpty():
+            cells = level.withColumn("g2", F.lit(0).cast("long")).withColumn("path", placed)
+            groups = cells if groups is None else groups.unionByName(cells)
+            break
+        here = level.join(sizes.select("path", "v"), ["path", "v"], "left_anti").withColumn("g2", F.lit(0).cast("long"))
+        level = level.join(sizes, ["path", "v"])
+        if depth == LEVELS - 1:
+            salted = level.withColumn("n", F.ceil(F.col("count") / group_limit)).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("n")))
+            pair = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 2, F.lit(0))), lambda t: t + F.when(t >= F.col("s"), 1).otherwise(0))
+            spread = salted.withColumn("t", F.explode(pair)).withColumn("g2", F.least("s", "t") * F.col("n") + F.greatest("s", "t"))
+            here = here.unionByName(spread.select(here.columns))
+        here = here.withColumn("path", placed)
+        groups = here if groups is None else groups.unionByName(here)
+        level = level.select("fp", "path")
+    dealt = groups.select(F.xxhash64("path", "v").alias("g1"), "g2", "fp").repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "fp")
     return dealt.mapInArrow(_links, "a long, b long")
 
 
+def classes(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(fp, component, least) of each distinct fingerprint of rows (doc_id, fp): least is the smallest doc_id reached."""
+    own = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("m")))
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where(F.col("first") != F.col("last"))
+    same = fps.join(several, "doc_id").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    found = common.components(links(own.select("fp"), group_limit).unionByName(same))
+    told = own.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "m")
+    least = told.groupBy("component").agg(F.min("m").alias("least"))
+    return told.join(least, "component").select("fp", "component", "least")
+
+
 def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
-    fps = common.checkpoint(fingerprints(docs))
-    reps = common.checkpoint(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = common.components(links(reps, group_limit))
-    classes = reps.join(found, reps["rep"] == found["node"], "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("c"))
-    own = fps.join(classes, fps["fp"] == classes["__fp"], "left")
-    return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
+    fps = common.checkpoint(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "fp"))
+    own = fps.join(classes(fps, group_limit), "fp")
+    return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; rows with a null doc_id stay."""
-    found = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).where("__kept is not null").distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["__kept"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each component: of the smallest doc_id, one of them; of a component without any doc_id, one row."""
+    fp, uid = common.free(docs, "fp", "uid")
+    rows = common.written(fingerprints(docs, fp).withColumn(uid, F.monotonically_increasing_id()), "fingerprinted")
+    light = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
+    light = light.join(classes(light.select("doc_id", "fp")), "fp")
+    first = Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "fp", "uid")
+    kept = light.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("uid").alias(uid))
+    return rows.join(kept, uid, "left_semi").select(docs.columns)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
