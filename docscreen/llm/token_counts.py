@@ -8,9 +8,11 @@ token's length and one character before that end are used, for nothing behind th
 left chunk's boundaries are those of the whole text. Counts are spliced at the first common boundary of each overlap.
 Where a pair has none, its text is cut anew with chunks and overlaps ``WIDER`` times as long, until it is one chunk.
 
-Texts are told apart by their MD5, so copies are encoded once. Splicing is a window over a text's chunks.
+Texts are told apart by their MD5: equal chunks of copies are one before they leave a task, and are encoded once. A
+text is cut in one walk. Splicing is a window over a text's chunks.
 
-Defined cases: null and empty texts have no tokens; null doc_ids stay as they are; repeated rows are each returned.
+Defined cases: null and empty texts have no tokens; null doc_ids stay as they are; repeated rows are each returned; an
+empty table gives an empty table; further columns are left out, whatever their names; no text is too long.
 """
 
 from __future__ import annotations
@@ -67,16 +69,24 @@ def _chunk_rows(overlap: int):
     return rows
 
 
+def _cutter(chunk: int, overlap: int):
+    """A row (k, i, at, text) for each chunk of a text, by characters."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch["k"], batch["text"], strict=True):
+                t = text.as_py()
+                at = range(0, max(1, len(t) - overlap), chunk - overlap)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(at)), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([t[x : x + chunk] for x in at], pa.string())], names=["k", "i", "at", "text"])
+
+    return rows
+
+
 def _spliced(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(k, n_tokens) of distinct long texts (k, text); n_tokens is null where some pair of chunks has no boundary."""
-    step = chunk - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - overlap) / step) - 1).cast("long")
-    cut = texts.select("k", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")).withColumn("at", F.col("i") * step)
-    chunks = cut.select("k", "i", "at", F.substring("text", F.col("at").cast("int") + 1, F.lit(chunk)).alias("text"))
-    n = common.partitions(texts)
+    """(k, n_tokens) of long texts (k, text), once each; n_tokens is null where some pair of chunks has no boundary."""
     many = "array<long>"
-    told = chunks.repartition(n, "k", "i").mapInArrow(_chunk_rows(overlap), f"k string, i long, total long, head_p {many}, head_n {many}, tail_p {many}, tail_n {many}")
-    told = told.dropDuplicates(["k", "i"])
+    chunks = texts.mapInArrow(_cutter(chunk, overlap), "k string, i long, at long, text string").groupBy("k", "i").agg(F.first("at").alias("at"), F.first("text").alias("text"))
+    told = chunks.mapInArrow(_chunk_rows(overlap), f"k string, i long, total long, head_p {many}, head_n {many}, tail_p {many}, tail_n {many}")
     after = Window.partitionBy("k").orderBy("i")
     pairs = told.select("k", "i", "total", "tail_p", "tail_n", F.lead("head_p").over(after).alias("p"), F.lead("head_n").over(after).alias("n"))
     meet = F.array_min(F.array_intersect("tail_p", "p"))
