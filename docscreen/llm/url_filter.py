@@ -3,7 +3,8 @@
 Native: DataFrame functions only.
 
 A rule (verdict, host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest wins
-(of equal length: allow). Rules are a parameter of bounded length, unrolled into one expression. Pages that a
+(of equal length: allow). Some rules are unrolled into one expression; where they are more than UNROLLED, each url's host
+and its parents are joined to the rules' hosts, which carry their paths. Pages that a
 ``<link rel=canonical>`` or a ``<meta http-equiv=refresh>`` of theirs joins to another url are its aliases; connected
 components over these edges are classes of equal content. A url without a rule is blocked if some member of its class is
 blocked by a rule and none is allowed by one: explicit allows take precedence, on the url itself and in its class.
@@ -12,7 +13,9 @@ All tags of a page count, those without a target aside. A url's node is the url
 a folder against the url's folder.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, no rule and no class, and are allowed; null
-html has no links; repeated rows are judged alike; a page that names itself has no edge.
+html has no links; repeated rows are judged alike; a page that names itself has no edge; scheme and host of a node are
+compared in lower case; an empty table gives an empty table; pages of any length are read whole; further columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from docscreen.llm import common
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-MAX_RULES = 2000
+UNROLLED = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_LINK = r"(?i)<link\b[^>]*\brel\s*=\s*(?:[\"'][^\"'>]*\bcanonical\b|canonical\b)[^>]*>"
 _META = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
 _URL = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
@@ -45,19 +48,39 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """The rule that wins and its verdict, or nulls."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are unrolled into one expression")
-    rule = verdict = F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow")):
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    return rule, verdict
+def ruled(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """rows (key, host, path) with rule, that which wins, and own, its verdict, or nulls; key tells rows apart."""
+    if len(rules) <= UNROLLED:
+        rule = verdict = F.lit(None).cast("string")
+        for kind, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow")):
+            fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
+            rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(verdict)
+        return rows.withColumns({"rule": rule, "own": verdict})
+    table = rows.sparkSession.createDataFrame(rules, "kind string, of string, p string")
+    table = table.groupBy("of").agg(F.collect_set(F.struct("kind", "p")).alias("paths"))
+    labels = F.split("host", "[.]")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = rows.select("host").distinct().withColumn("of", F.explode(parents)).join(table, "of").groupBy("host").agg(F.collect_list(F.struct("of", "paths")).alias("found"))
+    # of a host all rules of it and its parents; the longest whose path fits, an allow before a block
+    each = F.flatten(F.transform("found", lambda x: F.transform(x["paths"], lambda y: F.struct(F.length(F.concat(x["of"], y["p"])).alias("n"), (y["kind"] == "allow").alias("allow"), F.concat(x["of"], y["p"]).alias("rule"), y["kind"].alias("kind"), y["p"].alias("p")))))
+    best = F.array_max(F.filter(F.col("each"), lambda x: F.startswith(F.col("path"), x["p"])))
+    both = rows.join(hosts.select(F.col("host").alias("__host"), each.alias("each")), F.col("host") == F.col("__host"), "left").withColumn("best", best)
+    return both.withColumns({"rule": F.col("best.rule"), "own": F.col("best.kind")}).drop("__host", "each", "best")
 
 
 def node(url: Column) -> Column:
-    return F.when(F.locate("://", url) > 0, F.substring_index(url, "#", 1))
+    """A url's node: without its fragment, scheme and host in lower case, dot segments of its path resolved."""
+    at = F.locate("://", url)
+    whole = F.substring_index(url, "#", 1)
+    head = F.translate(F.regexp_extract(whole, r"^([^:]*://[^/?]*)", 1), _UPPER, _LOWER)
+    rest = F.substr(whole, F.length(head) + 1)
+    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
+    parts = F.split(path, "/")
+    up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", up(out)).when(x == ".", out).otherwise(F.array_append(out, x)))
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise("")
+    dots = F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(walked, "/"), tail)).otherwise(path)
+    return F.when(at > 0, F.concat(head, dots, query))
 
 
 def unescaped(c: Column) -> Column:
@@ -89,12 +112,12 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataF
     """page_id, host, path, rule, verdict of every row."""
     classes = common.components(alias_edges(pages))
     h, p = host_and_path(F.col("node"))
-    marks = classes.withColumn("v", ruled(h, p, rules)[1]).groupBy("component").agg(F.max(F.when(F.col("v") == "block", 1).otherwise(0)).alias("blocked"), F.max(F.when(F.col("v") == "allow", 1).otherwise(0)).alias("allowed"))
+    marks = ruled(classes.select("node", "component", h.alias("host"), p.alias("path")), rules)
+    marks = marks.groupBy("component").agg(F.max(F.when(F.col("own") == "block", 1).otherwise(0)).alias("blocked"), F.max(F.when(F.col("own") == "allow", 1).otherwise(0)).alias("allowed"))
     bad = classes.join(marks.where("blocked = 1 and allowed = 0"), "component").select("node", F.lit("block").alias("by_class"))
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), node(F.col("url")).alias("__node"))
-    rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = rows.withColumn("rule", rule).withColumn("own", verdict).join(bad, F.col("__node") == bad["node"], "left")
+    rows = ruled(pages.select("page_id", host.alias("host"), path.alias("path"), node(F.col("url")).alias("__node")), rules)
+    out = rows.join(bad, F.col("__node") == bad["node"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "by_class", F.lit("allow")).alias("verdict"))
 
 
