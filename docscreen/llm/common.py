@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (tests)."""
+    """The folder all executors share. Only a session whose one machine runs everything (tests) gets a folder of its own
+    where it names none; on a cluster that is an error, since executors don't see each other's folders."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         at = sc._jsc.sc().getCheckpointDir()
-        found = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="docscreen-")
+        if at.isDefined():
+            found = at.get()
+        elif re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            found = tempfile.mkdtemp(prefix="docscreen-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
     return found
@@ -52,12 +59,36 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its files are small enough and joined by a shuffle if they aren't. Parquet may
+    hold a table in an eighth of its memory."""
+    return F.broadcast(df) if 8 * input_bytes(df) <= BROADCAST_BYTES else df
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Shuffle partitions for work in proportion to a table's size; never fewer than the session's setting."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(200_000, input_bytes(df) // bytes_each))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n whole numbers that a repartition by them into n deals to n different partitions."""
+    keys = spark.range(16 * n + 64).select(F.col("id").cast("int").alias("k")).withColumn("at", F.pmod(F.hash("k"), F.lit(n)))
+    found = {r["at"]: r["k"] for r in keys.groupBy("at").agg(F.min("k").alias("k")).collect()}  # n numbers
+    return [found.get(i, i) for i in range(n)]
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """A session setting for the actions inside."""
@@ -69,10 +100,11 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (node, component): component is the smallest node that can be reached.
 
-    Alternating large-star and small-star rounds over DataFrames until the edge set no longer changes. Each round's
+    Alternating large-star and small-star rounds over DataFrames until the edge set no longer changes, which takes some
+    log(nodes) squared of them. Each round's
     minimum is a partial aggregate, so a hub doesn't reach one task; the edges of a hub join back by a join whose
     skewed side AQE can split. Nodes without an edge to another node aren't returned; null ends are left out.
     """
@@ -82,9 +114,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .distinct()
     )
     state = _state(e)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -96,8 +126,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

@@ -3,19 +3,22 @@
 Native: DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words, each by its 64-bit hash. Templates fall into
-classes by size: n shingles, 2^c <= n < 2^(c+1) = S. For class c a document's shingles are covered by windows of 2 S
-shingles that start every S, so each stretch of n shingles lies in one of them. Shingles that no template of the class
-has can't raise a containment, so windows hold only those that some has; most text leaves the plan at that join with the
-bounded table of template shingles. A window holds at most 2 S <= 4 n of them, so where it has 0.8 of a template's, its
-Jaccard similarity to the template is at least 0.8 / 4.2 = 0.19; 40 bands of one row each then collide at least once
-with probability 1 - (1 - 0.19)^40 = 0.9998. Candidates are verified: the share of the template's distinct shingles that
-the window has, at least 0.8.
+classes by size: n shingles, 2^c <= n < 2^(c+1) = S. For class c a document's shingles are covered by windows of 3 S
+shingles that start every S, so each stretch of 2 S shingles lies in one of them: an occurrence with n words put in
+between still does. Shingles that no template of the class has can't raise a containment, so windows hold only those that
+some has; most text leaves the plan at that join with the template shingles. A window holds at most 3 S <= 6 n of them,
+so where it has 0.8 of a template's, its Jaccard similarity to the template is at least 0.8 / 6.2 = 0.129; 64 bands of
+one row each then collide at least once with probability 1 - (1 - 0.129)^64 = 0.9998. Candidates are verified: the share
+of the template's distinct shingles that the window has, at least 0.8. Templates are a list or a table of any size; they
+are broadcast if their bytes are few, else joined by a shuffle.
 
 Only hits shuffle: a window's hashes, never its text. A template in a third of all documents makes groups of a document
 and a window each, so none is hot.
 
 Defined cases: null and empty texts, and those under five words, match nothing; null doc_ids are returned as null; rows
-with equal doc_id and text are one, with equal doc_id and other text are scanned apart and give the best of both.
+with equal doc_id and text are one, with equal doc_id and other text are scanned apart and give the best of both; long
+texts are scanned whole; an empty table gives an empty table; further columns are left out, whatever their names. A
+template of under five words, which could never be found, is refused.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from docscreen.llm import common
 
-SHINGLE, BANDS, LEAST = 5, 40, 0.8
+SHINGLE, BANDS, LEAST = 5, 64, 0.8
+#: A window's length in steps.
+STEPS = 3
 #: Templates are a parameter; these are notices in common use.
 TEMPLATES = [
     ("apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
@@ -58,28 +63,30 @@ def _bands(h: Column) -> Column:
     return F.array(*(F.min(F.xxhash64(h, F.lit(k))).alias(f"m{k}") for k in range(BANDS)))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """license, c, n, hs, bands: one row for each template of five words or more."""
-    t = spark.createDataFrame(templates, "license string, text string")
-    t = t.select("license", F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
+def template_table(templates: DataFrame) -> DataFrame:
+    """license, c, n, hs, bands: one row for each template (license, text)."""
+    t = templates.select("license", F.explode_outer(F.array_distinct(shingle_hashes(F.col("text")))).alias("h"))
+    short = F.raise_error(F.concat(F.lit("a template has under five words: "), F.col("license")))
+    t = t.withColumn("h", F.coalesce("h", short.cast("long")))
     t = t.groupBy("license").agg(F.count("*").alias("n"), F.collect_list("h").alias("hs"), _bands(F.col("h")).alias("bands"))
     return t.withColumn("c", F.floor(F.log2("n")).cast("int"))
 
 
-def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scanned(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, license, containment (the best window's), first_word (of its hit), n_windows."""
-    spark = docs.sparkSession
-    known = common.checkpoint(template_table(spark, templates))
-    wanted = known.select("c", F.explode("hs").alias("h")).distinct()
+    if not isinstance(templates, DataFrame):
+        templates = docs.sparkSession.createDataFrame(templates, "license string, text string")
+    known = common.written(template_table(templates), "templates")
+    wanted = common.written(known.select("c", F.explode("hs").alias("h")).distinct(), "template-shingles")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.posexplode(shingle_hashes(F.col("text"))).alias("pos", "h"))
-    hits = rows.join(F.broadcast(wanted), "h")  # bounded by the templates, a parameter
+    hits = rows.join(common.bounded(wanted), "h")
     step = F.pow(F.lit(2), F.col("c") + 1).cast("int")
     w = F.floor(F.col("pos") / step)
-    windows = hits.select("doc_id", "t", "c", "h", "pos", F.explode(F.array(w, w - 1)).alias("w")).where("w >= 0")
+    windows = hits.select("doc_id", "t", "c", "h", "pos", F.explode(F.array(*(w - k for k in range(STEPS)))).alias("w")).where("w >= 0")
     sets = windows.groupBy("doc_id", "t", "c", "w").agg(F.collect_set("h").alias("hs"), F.min("pos").alias("first_word"), _bands(F.col("h")).alias("bands"))
     banded = sets.select("doc_id", "t", "c", "w", "hs", "first_word", F.posexplode("bands").alias("band", "m"))
-    keys = known.select("license", "c", "n", F.col("hs").alias("ths"), F.posexplode("bands").alias("band", "m"))
-    found = banded.join(F.broadcast(keys), ["c", "band", "m"])
+    keys = common.written(known.select("license", "c", "n", F.col("hs").alias("ths"), F.posexplode("bands").alias("band", "m")), "template-bands")
+    found = banded.join(common.bounded(keys), ["c", "band", "m"])
     share = F.size(F.array_intersect("hs", "ths")) / F.col("n")
     found = found.select("doc_id", "t", "c", "w", "license", "first_word", share.alias("containment")).where(F.col("containment") >= least)
     return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.countDistinct("t", "c", "w").alias("n_windows"))

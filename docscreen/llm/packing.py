@@ -12,8 +12,11 @@ partitions, and packed again, for ``rounds`` rounds or until one partition holds
 gives back its emptiest sequence alone. In the last round a partition with a gap repacks such sequences in other orders;
 what has a gap even then stays uncertified. Partitions stay of bounded size throughout, so the work spreads.
 
+The results say of each piece whether its sequence's partition was certified: as many sequences as its bound.
+
 Defined cases: a null or empty text is its end token alone; rows with equal or null doc_id are packed each for itself;
-an empty table gives an empty table; ``size`` under 1 is refused.
+an empty table gives an empty table; texts of any length are packed whole; further columns are left out, whatever their
+names; ``size`` under 1 is refused.
 """
 
 from __future__ import annotations
@@ -136,22 +139,24 @@ def _packer(size: int, last: bool):
         part = part.sort_values("pid").reset_index(drop=True)
         lengths = part["length"].to_numpy("i8")
         bins, offsets, free = best_fit(lengths, size)
-        open_ = np.zeros(len(free), bool)
+        open_, bound = np.zeros(len(free), bool), lower_bound(lengths, size)
         if not last:
             open_[free.argmax()] = free.max() > 0
-            if len(free) > lower_bound(lengths, size):
+            if len(free) > bound:
                 open_ = free > 0
         else:
             bins, offsets = repacked(lengths, bins, offsets, free, size)
-        return pd.DataFrame({"pid": part["pid"], "length": lengths, "open": open_[bins], "group": int(key[0]), "bin": bins, "offset": offsets})
+        # what stays of a partition with a gap are full sequences, and those are certified by themselves
+        certified = len(np.unique(bins)) == bound or not last
+        return pd.DataFrame({"pid": part["pid"], "length": lengths, "open": open_[bins], "group": int(key[0]), "bin": bins, "offset": offsets, "certified": certified})
 
     return pack
 
 
 def packed(docs: DataFrame, size: int = SIZE, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """pieces() with sequence_id and offset."""
+    """pieces() with sequence_id, offset and certified."""
     told = common.checkpoint(pieces(docs, size).withColumn("pid", F.monotonically_increasing_id()))
-    full = told.where(F.col("length") == size).withColumn("sequence_id", -F.col("pid") - 1).withColumn("offset", F.lit(0).cast("long"))
+    full = told.where(F.col("length") == size).withColumn("sequence_id", -F.col("pid") - 1).withColumn("offset", F.lit(0).cast("long")).withColumn("certified", F.lit(True))
     rest = told.where(F.col("length") < size).select("pid", "length")
     n = rest.count()
     done = None
@@ -159,8 +164,8 @@ def packed(docs: DataFrame, size: int = SIZE, partition_pieces: int = PARTITION_
         groups = max(1, -(-n // partition_pieces))
         last = turn == rounds - 1 or groups == 1
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("pid", F.lit(turn)), F.lit(groups)))
-        out = common.checkpoint(dealt.groupBy("g").applyInPandas(_packer(size, last), "pid long, length long, open boolean, group long, bin long, offset long"))
-        own = out.where("not open").select("pid", ((F.lit(turn).cast("long") * (1 << 24) + F.col("group")) * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+        out = common.checkpoint(dealt.groupBy("g").applyInPandas(_packer(size, last), "pid long, length long, open boolean, group long, bin long, offset long, certified boolean"))
+        own = out.where("not open").select("pid", ((F.lit(turn).cast("long") * (1 << 24) + F.col("group")) * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset", "certified")
         done = own if done is None else done.unionByName(own)
         if last:
             break

@@ -8,13 +8,13 @@ Plan. A mapper gathers slices of documents and hashes their windows with two Rab
 hashes (80 bits are kept: at 10^13 windows fewer than a hundred pairs are expected to collide). What a slice can decide
 it decides: of equal windows in it, only those of its smallest doc_id stay open, so a passage that a third of all
 documents share leaves a slice once. Open windows go out as packed arrays, one row for each slice and bucket of hashes.
-Every bucket, a part of the hash range sized from the input's bytes, finds windows whose smallest doc_id is another and
+Every bucket, a part of the hash range, one for each task of a number sized from the input's bytes, finds windows whose smallest doc_id is another and
 answers the slices with positions. A slice's answers merge into intervals for each of its texts, and a join on document
 and text hash brings them to the texts.
 
 Defined cases: null and empty texts have no words; documents of fewer words than a window lose nothing; rows with a null
 doc_id are kept whole and remove nothing elsewhere; rows with equal doc_id don't act on each other; repeated rows get the
-same result each; an empty table gives an empty table.
+same result each; an empty table gives an empty table; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ WIDTH = 13
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words that a batch of the mapper gathers before it hashes and sends them.
 BATCH_WORDS = 1_000_000
+#: Input bytes for each bucket; its windows take some three times as many.
 BUCKET_BYTES = 8 << 20
 
 _SENT = "bucket int, slice long, kind int, payload binary"
@@ -218,10 +219,12 @@ def _merger(width: int):
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_hash, spans): for each text that loses words, packed [first, end) intervals of words."""
-    n = common.partitions(docs)
-    buckets = max(2 * n, common.input_bytes(docs) // BUCKET_BYTES)
+    n = common.partitions(docs, BUCKET_BYTES)
+    buckets = n
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    sent = texts.mapInArrow(_sender(width, buckets), _SENT).repartition(n, "bucket")
+    sent = texts.mapInArrow(_sender(width, buckets), _SENT)
+    keys = common.even_keys(docs.sparkSession, n)
+    sent = sent.withColumn("bucket", F.get(F.lit(keys), F.col("bucket"))).repartition(n, "bucket")
     told = sent.groupBy("bucket").applyInPandas(_receiver, "slice long, kind int, payload binary")
     found = told.groupBy("slice").applyInPandas(_merger(width), "doc_id long, text_hash long, spans binary")
     return found.dropDuplicates(["doc_id", "text_hash"])
@@ -238,11 +241,11 @@ def kept(words: list[bytes], spans: bytes | None) -> list[bytes]:
     return out + words[last:]
 
 
-def _with_removals(docs: DataFrame, width: int) -> DataFrame:
-    """docs with __spans: their intervals, or null."""
-    found = common.written(removals(docs, width), "removals").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("spans").alias("__spans"))
-    on = (docs["doc_id"].cast("long") == found["__doc_id"]) & (F.xxhash64(docs["text"]) == found["__text_hash"])
-    return docs.join(found, on, "left").drop("__doc_id", "__text_hash")
+def _with_removals(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """docs with one more column, their intervals or null, and its name."""
+    d, h, spans = common.free(docs, "of_doc_id", "of_text_hash", "spans")
+    found = common.written(removals(docs.select("doc_id", "text"), width), "removals").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("spans").alias(spans))
+    return docs.join(found, (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left").drop(d, h), spans
 
 
 def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -251,7 +254,7 @@ def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def rows(batches):
         for batch in batches:
             ids, out = [], []
-            for d, text, spans in zip(batch["doc_id"], batch["text"], batch["__spans"], strict=True):
+            for d, text, spans in zip(batch["doc_id"], batch["text"], batch[name], strict=True):
                 words = words_of(text.as_py())
                 left = kept(words, spans.as_py())
                 ids.append(d.as_py())
@@ -259,7 +262,7 @@ def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    both = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    both, name = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
     return both.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -270,7 +273,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def rows(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch["text"], batch["__spans"], strict=True):
+            for text, spans in zip(batch["text"], batch[name], strict=True):
                 t = text.as_py()
                 if spans.as_py():
                     t = b" ".join(kept(words_of(t), spans.as_py())).decode("utf-8", "surrogatepass")
@@ -280,7 +283,8 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return _with_removals(docs, width).mapInArrow(rows, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
+    both, name = _with_removals(docs, width)
+    return both.mapInArrow(rows, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
