@@ -15,11 +15,11 @@ from docscreen.llm import common, packing, simhash_dedup, substring_dedup, toxic
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier doesn't predict as toxic; it learns from the labels beside the documents."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id."""
+    """Of each group of linked fingerprints one row, that with the smallest doc_id."""
     return simhash_dedup.deduplicated(docs)
 
 
