@@ -99,7 +99,7 @@ def neighbours(x: np.ndarray, k: int) -> np.ndarray:
     for i in range(0, n, 128):
         d = sq[None] - 2 * x[i : i + 128] @ x.T
         d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
-        out.append(np.argpartition(d, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)])
+        out.append(np.argpartition(d, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)].copy())  # a view would keep all of it
     return np.concatenate(out)
 
 
