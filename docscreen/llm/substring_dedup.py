@@ -8,7 +8,7 @@ Plan. A mapper gathers slices of documents and hashes their windows with two Rab
 hashes (80 bits are kept: at 10^13 windows fewer than a hundred pairs are expected to collide). What a slice can decide
 it decides: of equal windows in it, only those of its smallest doc_id stay open, so a passage that a third of all
 documents share leaves a slice once. Open windows go out as packed arrays, one row for each slice and bucket of hashes.
-Every bucket, a part of the hash range, one for each task of a number sized from the input's bytes, finds windows whose smallest doc_id is another and
+Every bucket, a part of the hash range so small that its windows fit in memory, finds windows whose smallest doc_id is another and
 answers the slices with positions. A slice's answers merge into intervals for each of its texts, and a join on document
 and text hash brings them to the texts.
 
@@ -38,8 +38,8 @@ WIDTH = 13
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words that a batch of the mapper gathers before it hashes and sends them.
 BATCH_WORDS = 1_000_000
-#: Input bytes for each bucket; its windows take some three times as many.
-BUCKET_BYTES = 4 << 20
+#: Input bytes for each task and for each bucket; windows take some three times as many.
+TASK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 
 _SENT = "bucket int, slice long, kind int, payload binary"
 #: Kinds of rows: open windows, windows that the slice has decided, the slice's table of texts.
@@ -219,13 +219,13 @@ def _merger(width: int):
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_hash, spans): for each text that loses words, packed [first, end) intervals of words."""
-    n = common.partitions(docs, BUCKET_BYTES)
-    buckets = n
+    n = common.partitions(docs, TASK_BYTES)
+    buckets = max(n, common.input_bytes(docs) // BUCKET_BYTES)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     sent = texts.mapInArrow(_sender(width, buckets), _SENT)
     keys = common.even_keys(docs.sparkSession, n)
-    sent = sent.withColumn("bucket", F.get(F.lit(keys), F.col("bucket"))).repartition(n, "bucket")
-    told = sent.groupBy("bucket").applyInPandas(_receiver, "slice long, kind int, payload binary")
+    sent = sent.withColumn("key", F.get(F.lit(keys), F.col("bucket") % n)).repartition(n, "key")
+    told = sent.groupBy("key", "bucket").applyInPandas(_receiver, "slice long, kind int, payload binary")
     found = told.groupBy("slice").applyInPandas(_merger(width), "doc_id long, text_hash long, spans binary")
     return found.dropDuplicates(["doc_id", "text_hash"])
 
