@@ -244,7 +244,9 @@ def kept(words: list[bytes], spans: bytes | None) -> list[bytes]:
 def _with_removals(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
     """docs with one more column, their intervals or null, and its name."""
     d, h, spans = common.free(docs, "of_doc_id", "of_text_hash", "spans")
-    found = common.written(removals(docs.select("doc_id", "text"), width), "removals").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("spans").alias(spans))
+    found = common.written(removals(docs.select("doc_id", "text"), width), "removals")
+    common.sweep(docs.sparkSession)  # the windows' shuffle is done, and the texts' comes next
+    found = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("spans").alias(spans))
     return docs.join(found, (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(h)), "left").drop(d, h), spans
 
 
