@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
@@ -47,19 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, which goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # the table replaces its shuffles
+        df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done and no longer held: it learns of them only when the
-    driver's garbage is collected, which may be late on a driver that makes little of it."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files and local rows below a plan; sources that Catalyst knows no size of count nothing."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
