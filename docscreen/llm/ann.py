@@ -2,7 +2,9 @@
 
 Fit, on a bounded sample (``SAMPLE`` vectors in the order of a hash): the sample's neighbour graph is cut into balanced
 partitions by recursive bisection (Fiedler order of the normalised adjacency, halves at the median, then swaps that
-lower the cut); a small network learns to tell a vector's partition, trained with numpy. There are as many partitions as
+lower the cut). A small classifier, a linear softmax, learns to tell a vector's partition: it starts at the partitions'
+means, and in ``TURNS`` turns the sample's vectors move to the partition that it gives them and it learns these again,
+so that partitions become what it can tell of vectors it hasn't seen. There are as many partitions as
 give each ``ROWS_EACH`` rows, as far as the sample has ``EACH`` vectors for one. Where that leaves more rows to a
 partition, each is fitted once more on a sample of its own, on the executors, and routes on to its leaves: partitions
 grow with the rows. A leaf's score is the product of its probability and its partition's.
@@ -14,7 +16,8 @@ a vector that a third of all rows share is spread too. How many leaves a query p
 to all blocks of the leaves it probes, each block returns its nearest, and a window over the query keeps the best of
 these. Queries of which fewer than k are found search every leaf, so small inputs return all candidates there are.
 
-Vectors without structure have no partition that keeps their neighbours together; then many leaves are probed.
+Vectors without structure have no partition that keeps their neighbours together; then nearly half of the leaves are
+probed (README).
 
 Distances are Euclidean, in double precision on the original vectors. Defined cases: vectors that are null, zero, empty,
 or hold null or non-finite components take no part, nor do null vec_ids; each length has its own index; a vec_id that
@@ -36,8 +39,8 @@ from pyspark.sql import functions as F
 
 from docscreen.llm import common, vectors
 
-K, SAMPLE, DEGREE, BLOCK, RECALL = 10, 10_000, 10, 4096, 0.94
-HIDDEN, EPOCHS, RATE, SEED = 96, 40, 3e-3, 5
+K, SAMPLE, DEGREE, BLOCK, RECALL = 10, 10_000, 10, 4096, 0.925
+TURNS, SEED = 12, 5
 #: Sample vectors that a partition needs, rows it should have, partitions that a router tells at most.
 EACH, ROWS_EACH, MOST = 64, 128, 128
 #: Vectors that calibrate the probes, and queries that meet a block at a time.
@@ -47,16 +50,12 @@ FOUND = "query_id long, rank int, vec_id long, score double, partitions int, pro
 
 @dataclass
 class Router:
-    mean: np.ndarray
-    scale: float
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
+    weight: np.ndarray
+    bias: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The logarithm of each partition's probability."""
-        z = np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        z = x @ self.weight + self.bias
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
@@ -69,7 +68,7 @@ class Tree:
     below: dict[int, Router]
 
     def __post_init__(self):
-        self.sizes = [len(self.below[p].b2) if p in self.below else 1 for p in range(len(self.top.b2))]
+        self.sizes = [len(self.below[p].bias) if p in self.below else 1 for p in range(len(self.top.bias))]
         self.first = np.r_[0, np.cumsum(self.sizes)]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -151,34 +150,20 @@ def parts_for(rows: int, sample: int) -> int:
 
 def fit(x: np.ndarray, parts: int) -> Router:
     """A router to a power of two of partitions, from a sample of different vectors."""
-    rng, width = np.random.default_rng(SEED), x.shape[1]
-    mean = x.mean(0) if len(x) else np.zeros(width)
-    scale = float(np.sqrt(((x - mean) ** 2).mean())) if len(x) else 1.0
-    r = Router(mean, scale or 1.0, rng.normal(0, (2 / width) ** 0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, (HIDDEN, parts)), np.zeros(parts))
     if parts == 1:
-        return r
-    y = bisected(neighbours(x, min(DEGREE, len(x) - 1)), parts, rng)
-    z = (x - mean) / r.scale
-    teach = np.arange(len(x))
-    ps = [r.w1, r.b1, r.w2, r.b2]
-    a, b, step = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps], 0
-    for _ in range(EPOCHS):
-        rng.shuffle(teach)
-        for i in range(0, len(teach), 128):
-            t = teach[i : i + 128]
-            h = np.maximum(z[t] @ r.w1 + r.b1, 0)
-            o = h @ r.w2 + r.b2
-            p = np.exp(o - o.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(t)), y[t]] -= 1
-            p /= len(t)
-            dh = (p @ r.w2.T) * (h > 0)
-            step += 1
-            for q, g, m, v in zip(ps, (z[t].T @ dh, dh.sum(0), h.T @ p, p.sum(0)), a, b, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return r
+        return Router(np.zeros((x.shape[1], 1)), np.zeros(1))
+    y = bisected(neighbours(x, min(DEGREE, len(x) - 1)), parts, np.random.default_rng(SEED))
+    mean = np.stack([x[y == p].mean(0) for p in range(parts)])
+    for _ in range(TURNS):
+        r = _linear(mean, 1.0)
+        y = (x @ r.weight + r.bias).argmax(1)
+        mean = np.stack([x[y == p].mean(0) if (y == p).any() else mean[p] for p in range(parts)])
+    # one variance for all partitions and directions: the softmax of normal densities is linear
+    return _linear(mean, float(((x - mean[y]) ** 2).mean()) or 1.0)
+
+
+def _linear(mean: np.ndarray, variance: float) -> Router:
+    return Router(mean.T / variance, -(mean * mean).sum(1) / (2 * variance))
 
 
 def _routed(tree, width: int):
@@ -317,7 +302,7 @@ def learned(rows: DataFrame, n_rows: int, width: int) -> Tree:
     """The tree of routers for rows (vec_id, v) of one length."""
     x = _sample(rows, n_rows, width)
     tree = Tree(fit(x, parts_for(n_rows, len(x))), {})
-    if len(tree.top.b2) < MOST or n_rows < 4 * MOST * ROWS_EACH:
+    if len(tree.top.bias) < MOST or n_rows < 4 * MOST * ROWS_EACH:
         return tree
     held = rows.sparkSession.sparkContext.broadcast(tree)
     homes = common.written(rows.mapInArrow(_routed(held, width), "vec_id long, v array<double>, part int"), "ann-homes")
