@@ -1,8 +1,8 @@
 """Dates on cards, Gregorian and Hijri, as Column expressions.
 
-The Hijri calendar is a table of month starts, built once on the driver from the JVM's Umm al-Qura chronology: some
-3,600 rows for the years 1300 to 1599, so it is broadcast. The JVM's calendar may differ by a day from other tables in
-early years.
+The Hijri calendar is a table of month starts, made once on the driver from the JVM's Umm al-Qura chronology: 2,400
+numbers for the years 1300 to 1499, which expressions hold as a constant array. The JVM's calendar may differ by a day
+from other tables in early years.
 """
 
 from __future__ import annotations
@@ -39,13 +39,19 @@ def month_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(rows), "hy int, hm int, first int, days int")
 
 
+def hijri(year: Column, month: Column, day: Column) -> Column:
+    """The date of a Hijri day, or null where there is no such day."""
+    rows = _months(0, SparkSession.active()._jvm)
+    starts = F.split(F.lit(",".join(str(r[2]) for r in rows) + f",{rows[-1][2] + rows[-1][3]}"), ",").cast("array<int>")
+    at = ((year - YEARS[0]) * 12 + month - 1).cast("int")
+    inside = year.between(*YEARS) & month.between(1, 12) & (day >= 1)
+    first, after = F.get(starts, at), F.get(starts, at + 1)
+    return F.when(inside & (day <= after - first), F.date_add(F.lit(datetime.date(1970, 1, 1)), (first + day - 1).cast("int")))
+
+
 def hijri_to_gregorian(df: DataFrame, year: str, month: str, day: str, into: str) -> DataFrame:
     """df with a date column: null where the day doesn't exist."""
-    t = F.broadcast(month_table(df.sparkSession))
-    hit = (F.col(year) == t["hy"]) & (F.col(month) == t["hm"])
-    out = df.join(t, hit, "left")
-    found = F.when(F.col(day).between(1, F.col("days")), F.date_add(F.lit(datetime.date(1970, 1, 1)), F.col("first") + F.col(day) - 1))
-    return out.withColumn(into, found).drop("hy", "hm", "first", "days")
+    return df.withColumn(into, hijri(F.col(year), F.col(month), F.col(day)))
 
 
 def gregorian_to_hijri(df: DataFrame, date: str, into: str) -> DataFrame:
@@ -82,21 +88,36 @@ def parse_date(df: DataFrame, column: str, into: str) -> DataFrame:
     return df.withColumn(into, F.when(lunar, F.col("__h")).otherwise(gregorian(F.col("__y"), F.col("__m"), F.col("__d")))).drop("__p", "__y", "__m", "__d", "__h")
 
 
-def _sliced(s: Column, y: int, m: int, d: int) -> Column:
-    cut = lambda at, n: s.substr(at + 1, n).try_cast("int")
-    return gregorian(cut(y, 4), cut(m, 2), cut(d, 2))
-
-
 def _plausible(d: Column) -> Column:
     return F.when(F.year(d).between(1900, 2100), d)
 
 
-def repair_separators(s: Column) -> Column:
-    """A date from 9 or 10 digits of which one or two are misread separators (Gregorian years)."""
+def find_dates(c: Column) -> Column:
+    """Every year-month-day of a text that is a Gregorian date, in order."""
+    each = F.regexp_extract_all(text.normalize_digits(F.coalesce(c, F.lit(""))), F.lit(_YMD), F.lit(0))
+    number = lambda x, k: F.regexp_extract(x, _YMD, k).try_cast("int")
+    return F.array_compact(F.transform(each, lambda x: gregorian(number(x, 1), number(x, 2), number(x, 3))))
+
+
+def _cuts(s: Column) -> list[tuple[Column, int, int]]:
+    """Where 9 or 10 digits may hold misread separators: (condition, place of the month, place of the day)."""
     at = lambda k: s.substr(k + 1, 1)
-    nine = F.coalesce(F.when(at(6) == "8", _plausible(_sliced(s, 0, 4, 7))), F.when(at(4) == "8", _plausible(_sliced(s, 0, 5, 7))))
-    ten = F.when((at(4) == at(7)) & at(4).isin("7", "8", "1"), _plausible(_sliced(s, 0, 5, 8)))
-    return F.when(F.length(s) == 9, nine).when(F.length(s) == 10, ten)
+    nine, ten = F.length(s) == 9, F.length(s) == 10
+    return [(nine & (at(6) == "8"), 4, 7), (nine & (at(4) == "8"), 5, 7), (ten & (at(4) == at(7)) & at(4).isin("7", "8", "1"), 5, 8)]
+
+
+def repair_separators(df: DataFrame, digits: str, into: str) -> DataFrame:
+    """df with the date that a column of 9 or 10 digits holds, one or two of which are misread separators. Years of the
+    Hijri range are converted."""
+    s, found = F.col(digits), []
+    for k, (hit, month, day) in enumerate(_cuts(s)):
+        cut = lambda at, n: F.when(hit, s.substr(at + 1, n).try_cast("int"))  # noqa: B023, E731
+        df = df.withColumns({"__ry": cut(0, 4), "__rm": cut(month, 2), "__rd": cut(day, 2)})
+        df = hijri_to_gregorian(df, "__ry", "__rm", "__rd", "__lunar")
+        own = F.when(F.col("__ry").between(*YEARS), F.col("__lunar")).otherwise(_plausible(gregorian(F.col("__ry"), F.col("__rm"), F.col("__rd"))))
+        df = df.withColumn(f"__r{k}", own).drop("__ry", "__rm", "__rd", "__lunar")
+        found.append(f"__r{k}")
+    return df.withColumn(into, F.coalesce(*found)).drop(*found)
 
 
 def resolve_date(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -117,12 +138,12 @@ def resolve_date(df: DataFrame, column: str, into: str) -> DataFrame:
         df = df.withColumns({"__y": s.substr(1, 4).try_cast("int"), "__m": s.substr(5, 2).try_cast("int"), "__d": s.substr(7, 2).try_cast("int")})
         j = F.col(f"__j_{how}")
         df = df.withColumns({
-            f"__rep_{how}": repair_separators(s),
             f"__head_{how}": _plausible(gregorian(F.col("__y"), F.col("__m"), F.col("__d"))),
             f"__short_{how}": gregorian(F.lit(2000) + s.substr(1, 2).try_cast("int"), s.substr(3, 2).try_cast("int"), s.substr(5, 2).try_cast("int")),
             f"__again_{how}": _plausible(gregorian(j["y"], j["m"], j["d"])),
         })
         df = hijri_to_gregorian(df, "__y", "__m", "__d", f"__lunar_{how}").drop("__y", "__m", "__d")
+        df = repair_separators(df, f"__{how}", f"__rep_{how}")
         n = F.length(s)
         lunar, head = F.col(f"__lunar_{how}"), F.col(f"__head_{how}")
         readings |= {

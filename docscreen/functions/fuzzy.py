@@ -1,16 +1,41 @@
 """String similarity from 0 to 100 as Column expressions, by the published definitions of the Indel measures.
 
-They are folds over arrays, outside generated code: apply them to distinct values that exact lookups have missed.
+As expressions they are folds over arrays, outside generated code, and large plans: for lambdas, where nothing else runs.
+Where pairs are columns the measures of the same names with _of work on Arrow batches: small plans, and faster. Apply
+either to distinct values that exact lookups have missed.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docscreen.functions.numbers import bound
+
+
+#: Characters of a text whose places one long holds as bits.
+BITS = 62
 
 
 def common_length(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence: a row of the table of lengths for each character of a."""
+    """The length of the longest common subsequence. The places of a are bits of one number that each character of b
+    moves on; texts longer than that are folded over a row of lengths."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+
+    def folded(e: Column) -> Column:
+        places = lambda ch: F.aggregate(e["bits"], F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(F.when(p["y"] == ch, p["bit"]).otherwise(F.lit(0).cast("long"))))
+        step = lambda v, ch: bound(places(ch).bitwiseAND(v), lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(e["full"]))
+        return F.bit_count(e["full"] - F.aggregate(letters(b), e["full"], step))
+
+    of = lambda ls: F.struct(F.transform(ls, lambda x, j: F.struct(x.alias("y"), bit(j).alias("bit"))).alias("bits"), (bit(F.size(ls)) - 1).alias("full"))
+    return F.when(F.length(a) <= BITS, bound(letters(a), lambda ls: bound(of(ls), folded))).otherwise(_by_rows(a, b))
+
+
+def _by_rows(a: Column, b: Column) -> Column:
+    """As common_length, for texts of any length: a row of the table of lengths for each character of a."""
     letters = F.filter(F.split(b, ""), lambda x: x != "")
     start = F.transform(F.sequence(F.lit(0), F.size(letters)), lambda _: F.lit(0))
 
@@ -67,3 +92,52 @@ def alignment(a: Column, b: Column) -> Column:
 
 def label_factor(score: Column) -> Column:
     return 0.8 + 0.2 * F.least(F.lit(1.0), score / 100.0)
+
+
+def lcs(a: str, b: str) -> int:
+    """The length of the longest common subsequence: places of a as bits that each character of b moves on."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << j
+    full = v = (1 << len(a)) - 1
+    for x in b:
+        u = v & places.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return (full ^ v).bit_count()
+
+
+def like(a: str, b: str) -> float:
+    n = len(a) + len(b)
+    return 200.0 * lcs(a, b) / n if n else 100.0
+
+
+def like_sets(a: str, b: str) -> float:
+    ta, tb = set(a.split()), set(b.split())
+    if not ta or not tb:
+        return 0.0
+    both = sorted(ta & tb)
+    if both and (ta <= tb or tb <= ta):
+        return 100.0
+    s, sa, sb = (" ".join(both + sorted(x)) for x in ((), ta - tb, tb - ta))
+    return max(like(sa, sb), *((like(s, sa), like(s, sb)) if both else (0.0,)))
+
+
+def _over_pairs(f):
+    """A measure of two columns, once for each different pair of a batch; null where either is."""
+
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            if (x, y) not in known:
+                known[x, y] = f(x, y)
+            out.append(known[x, y])
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(each, T.DoubleType())
+
+
+ratio_of, token_set_ratio_of = _over_pairs(like), _over_pairs(like_sets)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,32 +22,47 @@ def luhn_ok_10(c: Column) -> Column:
     return F.coalesce((F.length(c) == 10) & c.rlike("^[0-9]+$") & F.call_function("luhn_check", c), F.lit(False))
 
 
-def resolve_ten_digits(c: Column, prefixes: str) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def resolve_ten_digits(c: Column, prefixes: str | Column) -> Column:
     """struct(number, multiplier, note) of a ten-digit identifier whose chunks may come in reversed order."""
-    chunks = text.digit_chunks(c)
-    valid = lambda x: x.substr(1, 1).isin(*prefixes)
-    exact = F.filter(chunks, lambda x: (F.length(x) == 10) & valid(x) & luhn_ok_10(x))
-    natural, turned = F.array_join(chunks, ""), F.array_join(F.reverse(chunks), "")
-    score = lambda x: F.when(valid(x), 2).otherwise(0) + F.when(luhn_ok_10(x), 1).otherwise(0)
-    s_natural, s_turned = score(natural), score(turned)
-    use_turned = s_turned >= s_natural
-    best, top, other = F.when(use_turned, turned).otherwise(natural), F.greatest(s_natural, s_turned), F.least(s_natural, s_turned)
-    how = F.when(use_turned, "reversed").otherwise("natural")
+    allowed = F.lit(prefixes) if isinstance(prefixes, str) else prefixes
+    valid = lambda x: F.coalesce((x != "") & allowed.contains(x.substr(1, 1)), F.lit(False))
+    yes = lambda x: F.when(x, "True").otherwise("False")
     out = lambda n, m, note: F.struct(n.alias("number"), F.lit(m).cast("double").alias("multiplier"), note.alias("note"))
     none = F.lit(None).cast("string")
-    yes = lambda x: F.when(x, "True").otherwise("False")
-    return (
-        F.when(F.coalesce(c, F.lit("")) == "", out(none, 0.0, F.lit("empty")))
-        .when(F.size(chunks) == 0, out(none, 0.0, F.lit("no_digits")))
-        .when(F.size(exact) == 1, out(F.get(exact, F.lit(0)), 1.0, F.lit("exact_chunk(luhn=True)")))
-        .when(F.length(natural) != 10, out(natural, 0.5, F.concat(F.lit("length_"), F.length(natural))))
-        .when((F.size(chunks) == 1) & (top >= 2), out(best, 1.0, F.concat(F.lit("single_chunk(prefix_ok="), yes(valid(best)), F.lit(",luhn="), yes(luhn_ok_10(best)), F.lit(")"))))
-        .when(F.size(chunks) == 1, out(best, 0.7, F.concat(F.lit("single_chunk(prefix_ok="), yes(valid(best)), F.lit(",luhn="), yes(luhn_ok_10(best)), F.lit(")"))))
-        .when(top == 0, out(best, 0.5, F.lit("no_candidate_valid")))
-        .when(other >= 2, out(best, 0.75, F.concat(F.lit("ambiguous_order("), how, F.lit(")"))))
-        .when(top >= 3, out(best, 1.0, F.concat(how, F.lit("(luhn="), yes(luhn_ok_10(best)), F.lit(")"))))
-        .otherwise(out(best, 0.9, F.concat(how, F.lit("(luhn="), yes(luhn_ok_10(best)), F.lit(")"))))
-    )
+
+    def rated(x: Column) -> Column:
+        ok = luhn_ok_10(x)
+        return F.struct(x.alias("n"), valid(x).alias("fits"), ok.alias("ok"), (F.when(valid(x), 2).otherwise(0) + F.when(ok, 1).otherwise(0)).alias("score"))
+
+    def told(v: Column) -> Column:
+        use_turned = v["turned"]["score"] >= v["natural"]["score"]
+        best = lambda f: F.when(use_turned, v["turned"][f]).otherwise(v["natural"][f])
+        top, other = F.greatest(v["natural"]["score"], v["turned"]["score"]), F.least(v["natural"]["score"], v["turned"]["score"])
+        how = F.when(use_turned, "reversed").otherwise("natural")
+        one = F.concat(F.lit("single_chunk(prefix_ok="), yes(best("fits")), F.lit(",luhn="), yes(best("ok")), F.lit(")"))
+        order = F.concat(how, F.lit("(luhn="), yes(best("ok")), F.lit(")"))
+        chunks, whole = v["chunks"], v["natural"]["n"]
+        return (
+            F.when(F.size(chunks) == 0, out(none, 0.0, F.lit("no_digits")))
+            .when(F.size(v["exact"]) == 1, out(F.get(v["exact"], F.lit(0)), 1.0, F.lit("exact_chunk(luhn=True)")))
+            .when(F.length(whole) != 10, out(whole, 0.5, F.concat(F.lit("length_"), F.length(whole))))
+            .when((F.size(chunks) == 1) & (top >= 2), out(best("n"), 1.0, one))
+            .when(F.size(chunks) == 1, out(best("n"), 0.7, one))
+            .when(top == 0, out(best("n"), 0.5, F.lit("no_candidate_valid")))
+            .when(other >= 2, out(best("n"), 0.75, F.concat(F.lit("ambiguous_order("), how, F.lit(")"))))
+            .when(top >= 3, out(best("n"), 1.0, order))
+            .otherwise(out(best("n"), 0.9, order))
+        )
+
+    exact = lambda ch: F.filter(ch, lambda x: (F.length(x) == 10) & valid(x) & luhn_ok_10(x))
+    rate = lambda ch: F.struct(ch.alias("chunks"), rated(F.array_join(ch, "")).alias("natural"), rated(F.array_join(F.reverse(ch), "")).alias("turned"), exact(ch).alias("exact"))
+    found = bound(text.digit_chunks(c), lambda ch: bound(rate(ch), told))
+    return F.when(F.coalesce(c, F.lit("")) == "", out(none, 0.0, F.lit("empty"))).otherwise(found)
 
 
 def differing_places(a: Column, b: Column) -> Column:

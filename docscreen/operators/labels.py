@@ -47,14 +47,14 @@ def latin_label(c: Column, labels: Mapping[str, Sequence[str]]) -> Column:
     pairs = [(f, v.lower().strip()) for f, vs in labels.items() for v in vs if re.search("[A-Za-z]", v) and not re.search("[؀-ۿ]", v)]
     for field, label in sorted(pairs, key=lambda p: len(p[1])):  # the last one tried is the first to win
         exact = F.regexp_extract(low, "^(.{0,2}(?<![a-z])" + r"\s*".join(map(re.escape, label.split())) + r"(?![a-z])\s*[:.]?\s*)", 1)
-        near = fuzzy.alignment(F.lit(label), F.left(low, F.lit(len(label) + 3)))
-        after = near["end"] + F.length(F.regexp_extract(F.substring(low, near["end"] + 1, F.length(low)), r"^(\s*[:.]?\s*)", 1))
         until = F.when(exact != "", F.length(exact))
         if len(label) >= 8:
-            until = until.when((near["score"] >= 80) & (near["start"] <= 2), after)
-        rest = F.regexp_replace(F.substring(t, until + 1, F.length(t)), "^[ :.]+|[ :.]+$", "")
-        hit = F.struct(F.lit(field).alias("field"), F.lit(100 + 0.01 * len(label)).alias("score"), until.cast("int").alias("until"), F.nullif(rest, F.lit("")).alias("inline"))
-        found = F.when(until.isNotNull(), hit).otherwise(found)
+            near = fuzzy.alignment(F.lit(label), F.left(low, F.lit(len(label) + 3)))
+            after = lambda n: n["end"] + F.length(F.regexp_extract(F.substring(low, n["end"] + 1, F.length(low)), r"^(\s*[:.]?\s*)", 1))
+            until = until.otherwise(numbers.bound(near, lambda n: F.when((n["score"] >= 80) & (n["start"] <= 2), after(n))))  # noqa: B023
+        rest = lambda u: F.regexp_replace(F.substring(t, u + 1, F.length(t)), "^[ :.]+|[ :.]+$", "")
+        hit = lambda u: F.when(u.isNotNull(), F.struct(F.lit(field).alias("field"), F.lit(100 + 0.01 * len(label)).alias("score"), u.cast("int").alias("until"), F.nullif(rest(u), F.lit("")).alias("inline")))  # noqa: B023, E731
+        found = F.coalesce(numbers.bound(until, hit), found)
     return found
 
 
@@ -86,7 +86,9 @@ def anchors(lines: DataFrame, labels: Mapping[str, Sequence[str]], headers: Sequ
     right = F.col("x") + F.col("w")
     base = lines.select("doc_id", "line", "text", norm.alias("norm"), (right >= RIGHT * F.col("card_w")).alias("column"), (right >= ZONE * F.col("card_w")).alias("zone"), (F.col("y") + F.col("h") < TOP * F.col("card_h")).alias("top"))
     told = ["doc_id", "line", "part", "field", "score", "inline", "until", "ltr"]
-    latin = base.where(~text.has_arabic(F.col("norm"))).withColumn("l", latin_label(F.col("text"), labels)).where("l is not null")
+    other = base.where(~text.has_arabic(F.col("norm")))
+    known = other.select("text").where("text is not null").distinct().withColumn("l", latin_label(F.col("text"), labels)).where("l is not null")
+    latin = other.join(known, "text")
     latin = latin.select("doc_id", "line", F.lit(0).alias("part"), "l.field", "l.score", "l.inline", "l.until", F.lit(True).alias("ltr"))
     arabic = base.where(text.has_arabic(F.col("norm")) & F.col("zone") & ~F.col("top") & ~is_header(F.col("norm"), headers))
     words = dictionary(spark, labels)

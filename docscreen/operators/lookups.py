@@ -1,4 +1,9 @@
-"""Dimension lookups: exact, alias, and fuzzy for what those miss. Dimensions carry file_pos, the order of their file."""
+"""Dimension lookups: exact, alias, and fuzzy for what those miss. Dimensions carry file_pos, the order of their file.
+
+Whether a dimension is broadcast is left to Spark, which knows its bytes when it runs. Names are brought to their
+canonical form once for each distinct value. The fuzzy measures run over pairs that share two neighbouring letters; any
+two names that reach the thresholds in use do.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,24 @@ from pyspark.sql import functions as F
 
 from docscreen.functions import fuzzy, text
 
-#: A dimension is broadcast below this many rows, else joined by shuffle.
-BROADCAST_ROWS = 200_000
+
+def spelled(rows: DataFrame, column: str, into: str) -> DataFrame:
+    """rows with a column's canonical form, made once for each distinct value."""
+    forms = rows.select(F.col(column).alias("__raw")).where("__raw is not null").distinct().withColumn(into, text.canonical(F.col("__raw")))
+    return rows.join(forms, F.col(column) == F.col("__raw"), "left").drop("__raw")
+
+
+def _grams(c: Column) -> Column:
+    """The distinct pairs of neighbouring letters of sorted words, edges included."""
+    words = F.concat(F.lit(" "), F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda x: x != "")), " "), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(words) - 1), lambda i: F.substring(words, i, F.lit(2))))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension if its counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def alike(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of a value v and the rows of keys whose key shares a pair of letters with it."""
+    left = values.select("v", F.explode(_grams(F.col("v"))).alias("__g"))
+    right = keys.select("key", F.explode(_grams(F.col("key"))).alias("__g")).distinct()
+    return left.join(right, "__g").select("v", "key").distinct().join(keys, "key")
 
 
 def one_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -40,42 +56,44 @@ def occupation_match(subjects: DataFrame, occupations: DataFrame, threshold: flo
 
     Exact and alias keys are hash joins. The fuzzy measure runs once for each distinct value that they miss.
     """
-    keys = small(occupation_keys(occupations))
+    keys = occupation_keys(occupations)
     found = F.struct("name_ar", "name_en", "category", "eligible", "method", F.col("s").alias("score"))
-    values = subjects.select(text.canonical(F.col(column)).alias("v")).where("v <> ''").distinct()
+    rows = spelled(subjects, column, "__v")
+    values = rows.select(F.col("__v").alias("v")).where("v <> ''").distinct()
     hits = values.join(keys, values["v"] == keys["key"])
     rank = F.when(F.col("method") == "exact", 0).otherwise(1)
     sure = one_per_key(hits, "v", rank).withColumn("s", F.when(F.col("method") == "exact", 1.0).otherwise(0.95))
     missed = values.join(sure.select("v"), "v", "left_anti")
     pos = F.struct(rank, "file_pos")
-    pairs = missed.crossJoin(keys).withColumn("s", fuzzy.token_set_ratio(F.col("v"), F.col("key")) / 100)  # a theta join with a dimension
+    pairs = alike(missed, keys).withColumn("s", fuzzy.token_set_ratio_of(F.col("v"), F.col("key")) / 100)
     best = pairs.where(F.col("s") >= threshold).groupBy("v").agg(F.max_by(F.struct("name_ar", "name_en", "category", "eligible", F.lit("fuzzy").alias("method"), F.round("s", 3).alias("score")), F.struct("s", (-pos["col1"]).alias("a"), (-pos["file_pos"]).alias("b"))).alias("match"))
     table = sure.select("v", found.alias("match")).unionByName(best)
-    return subjects.withColumn("v", text.canonical(F.col(column))).join(table, "v", "left").drop("v")
+    return rows.join(table, F.col("__v") == F.col("v"), "left").drop("v", "__v")
 
 
 def list_keys(entries: DataFrame) -> DataFrame:
-    """(key, code): every name, code and alias of a coded list; the first row wins."""
+    """(key, code, file_pos, k): every name, code and alias of a coded list in its order; the first row wins."""
     names = F.array_compact(F.concat(F.array("name_ar", "name_en", "code"), text.aliases(F.col("aliases"))))
     keys = entries.select(F.posexplode(text.canonical_each(names)).alias("k", "key"), "code", "file_pos").where("key <> ''")
-    return one_per_key(keys, "key", F.col("file_pos"), F.col("k")).select("key", "code")
+    return one_per_key(keys, "key", F.col("file_pos"), F.col("k")).select("key", "code", "file_pos", "k")
 
 
 def code_of(subjects: DataFrame, entries: DataFrame, column: str, into: str = "code") -> DataFrame:
-    """The code of a printed name: exact over every key, else by plain ratio of at least 80."""
-    keys = small(list_keys(entries))
-    values = subjects.select(text.canonical(F.col(column)).alias("v")).where("v <> ''").distinct()
+    """The code of a printed name: exact over every key, else by plain ratio of at least 80, of equal ones the first."""
+    keys, rows = list_keys(entries), spelled(subjects, column, "__v")
+    values = rows.select(F.col("__v").alias("v")).where("v <> ''").distinct()
     sure = values.join(keys, values["v"] == keys["key"]).select("v", "code", F.lit(1.0).alias("s"))
-    missed = values.join(sure.select("v"), "v", "left_anti").crossJoin(keys).withColumn("s", fuzzy.ratio(F.col("v"), F.col("key")))
-    near = missed.where("s >= 80").groupBy("v").agg(F.max_by("code", F.struct("s", "key")).alias("code"), (F.round(F.max("s") / 100, 2)).alias("s"))
+    missed = alike(values.join(sure.select("v"), "v", "left_anti"), keys).withColumn("s", fuzzy.ratio_of(F.col("v"), F.col("key")))
+    first = F.struct("s", (-F.col("file_pos")).alias("f"), (-F.col("k")).alias("k"))
+    near = missed.where("s >= 80").groupBy("v").agg(F.max_by("code", first).alias("code"), (F.round(F.max("s") / 100, 2)).alias("s"))
     table = sure.unionByName(near).select("v", F.col("code").alias(into), F.col("s").alias(f"{into}_multiplier"))
-    return subjects.withColumn("v", text.canonical(F.col(column))).join(table, "v", "left").drop("v")
+    return rows.join(table, F.col("__v") == F.col("v"), "left").drop("v", "__v")
 
 
 def by_code(subjects: DataFrame, entries: DataFrame, column: str = "code") -> DataFrame:
     """Adds listed, approved and list_name by upper-cased code; the last row of a code wins."""
     one = one_per_key(entries.withColumn("__k", F.upper(F.trim("code"))), "__k", F.desc("file_pos"))
-    one = small(one.select("__k", F.lit(True).alias("listed"), F.col("approved"), F.coalesce("name_en", "code").alias("list_name")))
+    one = one.select("__k", F.lit(True).alias("listed"), F.col("approved"), F.coalesce("name_en", "code").alias("list_name"))
     return subjects.join(one, F.upper(F.trim(F.col(column))) == one["__k"], "left").drop("__k").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
@@ -84,7 +102,7 @@ def employer_reference(subjects: DataFrame, reference: DataFrame) -> DataFrame:
     ids = one_per_key(reference.where("employer_id <> ''"), "employer_id", F.desc("file_pos")).select(F.col("employer_id").alias("__i"), F.col("employer_type").alias("__ti"))
     names = reference.withColumn("__m", text.canonical(F.col("employer_name"))).where("__m <> ''")
     names = one_per_key(names, "__m", F.desc("file_pos")).select("__m", F.col("employer_type").alias("__tn"))
-    out = subjects.join(small(ids), F.col("employer_id") == F.col("__i"), "left").withColumn("__m", text.canonical(F.col("employer_name"))).join(small(names), "__m", "left")
+    out = spelled(subjects.join(ids, F.col("employer_id") == F.col("__i"), "left"), "employer_name", "__m").join(names, "__m", "left")
     return out.withColumn("ref_type", F.coalesce("__ti", "__tn")).drop("__i", "__ti", "__m", "__tn")
 
 
@@ -110,7 +128,7 @@ def company(subjects: DataFrame, threshold: float, defaults: tuple[str, ...] = (
 def upsert(table: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Rows whose canonical key is new or replaced, and all others as they were."""
     key = rows.select(text.canonical(F.col(column)).alias("__k")).distinct()
-    return table.withColumn("__k", text.canonical(F.col(column))).join(small(key), "__k", "left_anti").drop("__k").unionByName(rows, allowMissingColumns=True)
+    return table.withColumn("__k", text.canonical(F.col(column))).join(key, "__k", "left_anti").drop("__k").unionByName(rows, allowMissingColumns=True)
 
 
 def options(card: Column, companies: Column) -> Column:
