@@ -66,3 +66,23 @@ def requeued(documents: DataFrame) -> DataFrame:
 
 def stale_batches(documents: DataFrame) -> DataFrame:
     return documents.where("status = 'PROCESSING'").select("batch_id").distinct().orderBy("batch_id")
+
+
+def purged(batches: DataFrame, children: dict[str, DataFrame], now: Column, days: int, actor: str = "retention") -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """A retention run: the batches that stay, the child tables (with batch_id) without those that went, and the audit
+    rows of what went."""
+    gone = expired(batches, now, days).select("batch_id")
+    log = gone.select(F.lit("RETENTION_PURGE").alias("action"), F.lit(actor).alias("actor"), F.lit("batch").alias("entity_type"), F.col("batch_id").cast("string").alias("entity_id"), now.alias("ts"))
+    return without(batches, gone, "batch_id"), {k: without(v, gone, "batch_id") for k, v in children.items()}, log
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Audit rows at the end of a table, with identifiers masked and their date as partition."""
+    if bad := [r["action"] for r in rows.where(~F.col("action").isin(*ACTIONS)).select("action").distinct().limit(5).collect()]:
+        raise ValueError(f"unknown actions {bad}")
+    masked_rows(rows).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def requeue_log(documents: DataFrame, now: Column, actor: str = "startup") -> DataFrame:
+    """An audit row for each document that requeued() takes back."""
+    return documents.where("status = 'PROCESSING'").select(F.lit("DOCUMENT_REQUEUED").alias("action"), F.lit(actor).alias("actor"), F.lit("document").alias("entity_type"), F.col("doc_id").cast("string").alias("entity_id"), now.alias("ts"))

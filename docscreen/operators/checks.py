@@ -3,6 +3,8 @@ confidence in <field>_conf; <field>_source where it isn't OCR."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +62,20 @@ def _matches(name: Column, words: tuple[str, ...], bounded: bool) -> Column:
     return name.rlike(rf"(^|\s)({pattern})(\s|$|\.)" if bounded else f"({pattern})")
 
 
-def employer_class(rules: Rules) -> Column:
-    """struct(type, confidence, layer): the reference, then the id's prefix checked against the name, then the name."""
-    name = F.coalesce(text.canonical(F.col("employer_name")), F.lit(""))
+def with_employer_class(subjects: DataFrame, rules: Rules) -> DataFrame:
+    """subjects with employer_class, worked out once for each different employer; ref_type is the reference's word."""
+    keys = ["employer_id", "employer_name", "ref_type"]
+    told = subjects.select(*keys).distinct().withColumn("__name", F.coalesce(text.canonical(F.col("employer_name")), F.lit("")))
+    told = told.withColumn("employer_class", employer_class(rules, F.col("__name"))).select(*(F.col(k).alias(f"__{k}") for k in keys), "employer_class")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return subjects.join(told, same, "left").drop(*(f"__{k}" for k in keys))
+
+
+def employer_class(rules: Rules, name: Column) -> Column:
+    """struct(type, confidence, layer): the reference, then the id's prefix checked against the canonical name, then the
+    name."""
     by_name = [("GOVERNMENT", 0.95, "L2", _matches(name, rules.government, False)), ("COMPANY", 0.90, "L3", _matches(name, rules.legal_forms, True)), ("COMPANY", 0.75, "L4", _matches(name, rules.activities, False))]
     by_name += [("INDIVIDUAL", 0.60, "L5", name.rlike("|".join(f"(?:{p})" for p in rules.person_patterns)))] if rules.person_patterns else []
     out = lambda t, c, layer: F.struct(F.lit(t).alias("type") if isinstance(t, str) else t.alias("type"), F.lit(c).cast("double").alias("confidence") if not isinstance(c, Column) else c.alias("confidence"), F.lit(layer).alias("layer"))
@@ -120,10 +133,16 @@ def occupation_check(rules: Rules) -> Column:
     )
 
 
-def checked(subjects: DataFrame, rules: Rules, as_of: Column) -> DataFrame:
-    """subjects with check_<name> for each check of the rules' order, after the rule over two checks."""
-    out = subjects.withColumn("employer_class", employer_class(rules))
-    made = {"NATIONALITY": list_check(rules), "EXPIRY": expiry_check(rules, as_of), "EMPLOYER": employer_check(rules), "OCCUPATION": occupation_check(rules)}
+def by_name(rules: Rules) -> Column:
+    """The checks as a map from their name, of rows of checked()."""
+    return F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"check_{k}").alias("value")) for k in rules.order)))
+
+
+def checked(subjects: DataFrame, rules: Rules, as_of: Column, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """subjects with check_<name> for each check of the rules' order, after the rule over two checks. more: further
+    checks by name, which the rules' order may place."""
+    out = with_employer_class(subjects, rules)
+    made = dict(more or {}) | {"NATIONALITY": list_check(rules), "EXPIRY": expiry_check(rules, as_of), "EMPLOYER": employer_check(rules), "OCCUPATION": occupation_check(rules)}
     identity = F.col("doc_type") == "NATIONAL_ID"
     skip = _result(F.lit("PASS"), F.lit("NOT_APPLICABLE"), F.lit(1.0), F.lit(None))
     cols = {f"check_{k}": F.when(identity, skip).otherwise(v) if k in rules.skipped_for_identity else v for k, v in made.items() if k in rules.order}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,31 @@ def corrected(fields: DataFrame, edits: DataFrame) -> DataFrame:
     return flagged(fields.select(new.columns).unionByName(new), "doc_id", "field")
 
 
+def redecided(fields: DataFrame, edits: DataFrame, decisions: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Fields after edits, and the decisions they lead to: corrected documents alone are validated and decided again by
+    ``decide`` (current fields in, doc_id and decision out), each a version above its last; older ones stay."""
+    after = corrected(fields, edits)
+    now = after.where("is_current").join(edits.select("doc_id").distinct(), "doc_id", "left_semi")
+    last = decisions.groupBy("doc_id").agg(F.max("version").alias("__v"))
+    by = edits.groupBy("doc_id").agg(F.min("by").alias("decided_by"))
+    fresh = decide(now).select("doc_id", "decision").join(last, "doc_id", "left").join(by, "doc_id")
+    new = fresh.select("doc_id", F.col("decision.status").alias("status"), (F.coalesce("__v", F.lit(0)) + 1).alias("version"), F.lit(False).alias("is_final"), "decided_by")
+    return after, flagged(decisions.select(new.columns).unionByName(new), "doc_id")
+
+
+def latest_review(reviews: DataFrame) -> DataFrame:
+    """The last review of each document, by its number."""
+    return current(reviews, "doc_id", version="review_id")
+
+
+def with_company(documents: DataFrame, found: DataFrame, manual: DataFrame) -> DataFrame:
+    """documents with company and company_source: what a person set (manual: doc_id, company; the last row by set_at)
+    stays, whatever is found again (found: doc_id, company, company_source)."""
+    own = current(manual, "doc_id", version="set_at").select("doc_id", F.trim("company").alias("__own"))
+    out = documents.join(found.select("doc_id", F.col("company").alias("__auto"), F.col("company_source").alias("__source")), "doc_id", "left").join(own, "doc_id", "left")
+    return out.withColumns({"company": F.coalesce("__own", "__auto"), "company_source": F.when(F.col("__own").isNotNull(), "MANUAL").otherwise(F.col("__source"))}).drop("__own", "__auto", "__source")
+
+
 def signed_off(decisions: DataFrame, reviews: DataFrame) -> DataFrame:
     """The decisions that reviews (doc_id, status, reasons, reviewer) make final: version + 1, the human status wins."""
     now = current(decisions, "doc_id").select("doc_id", F.col("version").alias("__v"), F.col("reasons").alias("__reasons"))

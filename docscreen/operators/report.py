@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docscreen.functions import text
+from docscreen.operators import lookups
 
 DISCLAIMER = "Decision support only; a person remains responsible for the outcome."
 
@@ -80,7 +81,7 @@ def export_rows(rows: DataFrame, unmask: bool = False) -> DataFrame:
         "nationality",
         "occupation",
         F.col("match.name_en").alias("occupation_en"),
-        F.lit(None).cast("string").alias("occupation_code"),
+        opt("occupation_code"),
         "employer_name",
         hide("employer_id").alias("employer_id"),
         label("EMPLOYER").alias("employer_type"),
@@ -108,11 +109,55 @@ def export_rows(rows: DataFrame, unmask: bool = False) -> DataFrame:
 
 def export_feed(rows: DataFrame, entries: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     """What the permit form is filled from: allowed statuses, the list's names joined by code, in document order."""
-    names = F.broadcast(entries.select(F.col("code").alias("__c"), F.col("name_en").alias("list_name_en"), F.col("name_ar").alias("list_name_ar")))
+    one = lookups.one_per_key(entries, "code", F.desc("file_pos"))  # a code that the file repeats is one
+    names = one.select(F.col("code").alias("__c"), F.col("name_en").alias("list_name_en"), F.col("name_ar").alias("list_name_ar"))
     out = rows.where(F.col("status").isin(*statuses)).join(names, F.col("nationality") == F.col("__c"), "left")
     return out.select("doc_id", F.coalesce("name_en", "name_ar").alias("name"), F.coalesce("list_name_en", "list_name_ar", "nationality").alias("nationality_name"), "iqama_no", "occupation", "company").orderBy("doc_id")
 
 
+def shown_fields(fields: DataFrame, sensitive: tuple[str, ...] = ("iqama_no", "employer_id"), unmask: bool = False) -> DataFrame:
+    """Fields (doc_id, field, raw, normalized, ...) as people see them: sensitive values masked, their raw text only where
+    it is nothing but digits."""
+    hide = F.lit(not unmask) & F.col("field").isin(*sensitive)
+    digits = F.coalesce(F.trim("raw").rlike("^[0-9٠-٩۰-۹]+$"), F.lit(False))
+    return fields.withColumns({"normalized": F.when(hide, text.mask_id(F.col("normalized"))).otherwise(F.col("normalized")), "raw": F.when(hide & digits, text.mask_id(F.col("raw"))).otherwise(F.col("raw"))})
+
+
+def batch_rows(batches: DataFrame) -> DataFrame:
+    """Batches as they are listed, with companies and project read from their JSON."""
+    return batches.select(
+        F.col("batch_id").alias("id"), "name", "status", "total", "processed", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "rules_version",
+        F.coalesce(F.from_json("companies_json", "array<string>"), F.array().cast("array<string>")).alias("companies"),
+        F.coalesce(F.from_json("project_json", "map<string, string>"), F.create_map().cast("map<string, string>")).alias("project"),
+    )
+
+
+_LIST = "array<string>"
+
+
+def stored(decisions: DataFrame) -> DataFrame:
+    """Decisions as they are kept: lists as JSON."""
+    return decisions.withColumns({"reasons": F.to_json("reasons"), "triggers": F.to_json("triggers")})
+
+
+def restored(decisions: DataFrame) -> DataFrame:
+    """Decisions with their lists read from JSON; what is malformed or null is an empty list."""
+    read = lambda c: F.coalesce(F.from_json(c, _LIST), F.array().cast(_LIST))
+    return decisions.withColumns({"reasons": read("reasons"), "triggers": read("triggers")})
+
+
+def collected(batches: DataFrame, documents: DataFrame, fields: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Each batch with its documents in order, each document with its fields and decisions; none lacks for having none.
+
+    Fields and decisions are gathered by document before documents are gathered by batch: one document's are few.
+    """
+    fs = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field", "normalized", "confidence"))).alias("fields"))
+    ds = decisions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("version", "status"))).alias("decisions"))
+    docs = documents.select("batch_id", "doc_id").join(fs, "doc_id", "left").join(ds, "doc_id", "left")
+    each = F.array_sort(F.collect_list(F.struct("doc_id", "fields", "decisions")))
+    return batches.join(docs.groupBy("batch_id").agg(each.alias("documents")), "batch_id", "left")
+
+
 def column_widths(rows: DataFrame, least: int = 10, most: int = 60) -> DataFrame:
     """Width of each column of a sheet: its longest text and two, in bounds."""
     return rows.agg(*(F.least(F.greatest(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)) + 2, F.lit(max(least, min(most, len(c) + 2)))), F.lit(most)).alias(c) for c in rows.columns))

@@ -18,6 +18,7 @@ class Rules:
     min_field_confidence: float = 0.75
     critical_fields: tuple[str, ...] = ("iqama_no", "expiry_date", "nationality", "occupation", "employer_id")
     order: tuple[str, ...] = ("NATIONALITY", "EXPIRY", "EMPLOYER", "OCCUPATION")
+    further_checks: tuple[str, ...] = ()
     list_mode: str = "ALL_APPROVED"
     warn_days: int = 30
     time_zone: str = "UTC"
@@ -53,7 +54,7 @@ class Rules:
             raise ValueError(f"occupation_model {self.occupation_model}")
         if self.warn_days < 0:
             raise ValueError("warn_days is negative")
-        if unknown := set(self.order) - {"NATIONALITY", "EXPIRY", "EMPLOYER", "OCCUPATION"}:
+        if unknown := set(self.order) - {"NATIONALITY", "EXPIRY", "EMPLOYER", "OCCUPATION", *self.further_checks}:
             raise ValueError(f"unknown checks {sorted(unknown)}")
         return replace(self, version=self.version or fingerprint({"rules": repr(replace(self, version=""))}))
 
@@ -75,3 +76,28 @@ def load(path: str) -> Rules:
         given = yaml.safe_load(f) or {}
     tuples = {k: tuple(map(tuple, v.items())) if isinstance(v, dict) else tuple(v) for k, v in given.items() if isinstance(v, list | dict)}
     return Rules(**(given | tuples)).validate()
+
+
+def today(rules: Rules):
+    """The date in the rules' time zone, as a column; tests give a literal instead."""
+    from pyspark.sql import functions as F
+
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(rules.time_zone), F.current_timestamp().cast("timestamp_ntz")))
+
+
+def load_lists(path: str) -> dict[str, tuple[str, ...]]:
+    """A YAML mapping of names to lists of words: employer rules, or the labels printed on cards."""
+    import yaml
+
+    with open(path, encoding="utf-8-sig") as f:
+        given = yaml.safe_load(f) or {}
+    if wrong := [k for k, v in given.items() if not isinstance(v, list)]:
+        raise ValueError(f"not lists: {wrong}")
+    return {k: tuple(str(x).strip() for x in v if str(x).strip()) for k, v in given.items()}
+
+
+def with_employer_rules(rules: Rules, lists: dict[str, tuple[str, ...]]) -> Rules:
+    """rules with the word lists of an employer file: government, legal_forms, activities, person_patterns."""
+    if unknown := set(lists) - {"government", "legal_forms", "activities", "person_patterns"}:
+        raise ValueError(f"unknown lists {sorted(unknown)}")
+    return replace(rules, **lists, version="").validate()

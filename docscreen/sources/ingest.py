@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +25,12 @@ def mime(content: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256, mime and content of the files below a folder."""
+    """path, length, sha256, mime and content of the files below a folder. Files that are too large aren't read: their
+    length is known to the source, and sha256, mime and content are null."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return identified(raw)
+    whole = identified(raw.where(F.col("length") <= MAX_BYTES))
+    large = raw.where(F.col("length") > MAX_BYTES).select(*(c for c in raw.columns if c != "content"))
+    return whole.unionByName(large, allowMissingColumns=True)
 
 
 def identified(raw: DataFrame) -> DataFrame:
@@ -38,6 +43,25 @@ def accepted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("length") > MAX_BYTES, f"file too large (> {MAX_BYTES >> 20} MB)").when(~F.col("mime").isin(*ALLOWED), kind))
 
 
+def upload(rows: DataFrame, most: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) files of one upload; an upload of more than ``most`` files is refused as a whole."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} files in one upload")
+    told = accepted(rows)
+    return told.where("error is null").drop("error"), told.where("error is not null").select("path", "error")
+
+
+def totals(batches: DataFrame, documents: DataFrame) -> DataFrame:
+    """batches with total, the number of their documents."""
+    n = documents.groupBy("batch_id").agg(F.count("*").alias("__n"))
+    return batches.join(n, "batch_id", "left").withColumn("total", F.coalesce("__n", F.lit(0))).drop("__n")
+
+
+def to_process(documents: DataFrame) -> DataFrame:
+    """Documents that processing takes up: queued ones, and those that failed before."""
+    return documents.where(F.col("status").isin("QUEUED", "ERROR"))
+
+
 def page_id(sha: Column, page_no: Column) -> Column:
     return F.sha2(F.concat(sha, page_no.cast("string")).cast("binary"), 256)
 
@@ -66,6 +90,34 @@ def batch(companies: list[str], defaults: list[str], rules_version: str) -> dict
     return {"status": "QUEUED", "companies": own or list(defaults), "rules_version": rules_version, "total": 0, "processed": 0}
 
 
+def batch_table(spark: SparkSession, requests: DataFrame, defaults: list[str], rules_version: str) -> DataFrame:
+    """New batches from requests (batch_id, name, companies, project): companies trimmed, the defaults if there are none."""
+    own = F.filter(F.transform(F.coalesce("companies", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    kept = F.when(F.size(own) > 0, own).otherwise(F.array(*map(F.lit, defaults)).cast("array<string>"))
+    return requests.select("batch_id", "name", F.lit("QUEUED").alias("status"), F.to_json(kept).alias("companies_json"), F.to_json(F.coalesce("project", F.create_map().cast("map<string, string>"))).alias("project_json"), F.lit(rules_version).alias("rules_version"), F.lit(0).alias("total"), F.lit(0).alias("processed"))
+
+
+class Providers:
+    """Sources of recognised boxes by name: functions from a session to a table of OCR_LINES, made when first asked."""
+
+    def __init__(self):
+        self._makers: dict[str, Callable[[SparkSession], DataFrame]] = {}
+
+    def register(self, name: str, maker: Callable[[SparkSession], DataFrame]) -> None:
+        self._makers[name] = maker
+
+    def lines(self, spark: SparkSession, name: str) -> DataFrame:
+        if name not in self._makers:
+            raise KeyError(f"no provider {name}; there are {sorted(self._makers)}")
+        df = self._makers[name](spark)
+        return df.select(*(F.col(f.name).cast(f.dataType) for f in OCR_LINES))
+
+
+def canned(rows: list[tuple]) -> Callable[[SparkSession], DataFrame]:
+    """A provider of given rows, for tests."""
+    return lambda spark: spark.createDataFrame(rows, OCR_LINES)
+
+
 def polygons(boxes: DataFrame, points: str = "points") -> DataFrame:
     """x, y, w, h around arrays of struct(x, y)."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -76,3 +128,8 @@ def first_seen(documents: DataFrame, key: str = "sha256") -> DataFrame:
     """The window form of duplicates(), for contents that few rows share."""
     w = Window.partitionBy(key).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return documents.withColumn("duplicate_of", F.min("doc_id").over(w))
+
+
+def unseen(documents: DataFrame, history: DataFrame, key: str = "sha256") -> DataFrame:
+    """Documents whose content isn't in the history, which has no end."""
+    return documents.join(history.select(key).distinct(), key, "left_anti")
