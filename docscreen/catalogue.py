@@ -10,34 +10,22 @@ from pyspark.sql import functions as F
 from docscreen.functions import crypto, dates, fuzzy, numbers, text
 from docscreen.operators import audit, checks, extract, history, labels, lookups, report
 from docscreen.operators.rules import Rules
+from docscreen.plans import similarity as M
 from docscreen.plans import subjects as S
+from docscreen.registry import ORACLE_SQL, QUERIES, query
+from docscreen.registry import table as _table
 from docscreen.sources import ingest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 _SUBJECTS = f"WITH subjects AS ({S.subjects_sql()}), entries AS ({S.ENTRIES.replace('{nation}', 'nation')}), occupations AS ({S.OCCUPATIONS.replace('{text}', 'varchar').replace('{part}', 'part')})"
 RULES = Rules().validate()
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def _as_of():
     return F.lit(datetime.date.fromisoformat(S.AS_OF))
 
 
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 _EXPIRY = f"CASE WHEN expiry_date IS NULL THEN 'DATE_NOT_READABLE' WHEN expiry_date < DATE '{S.AS_OF}' THEN 'EXPIRED' WHEN expiry_date - DATE '{S.AS_OF}' <= 30 THEN 'EXPIRING_SOON' ELSE 'VALID' END"
 
 
@@ -70,7 +58,7 @@ _EMPLOYER = f"SELECT *, CASE WHEN etype = 'INDIVIDUAL' AND round(least(econf, em
 
 @query(f"{_SUBJECTS} SELECT doc_id, etype AS label, e_outcome AS outcome, e_conf AS confidence FROM ({_EMPLOYER}) e")
 def subject_employer_class(spark, d):
-    rows = S.subjects(spark, d).withColumn("ref_type", F.lit(None).cast("string")).withColumn("employer_class", checks.employer_class(RULES))
+    rows = checks.with_employer_class(S.subjects(spark, d).withColumn("ref_type", F.lit(None).cast("string")), RULES)
     c = checks.employer_check(RULES)
     return rows.select("doc_id", c["label"].alias("label"), c["outcome"].alias("outcome"), c["confidence"].alias("confidence"))
 
@@ -82,7 +70,11 @@ def subject_occupation_exact_alias(spark, d):
     return out.select("doc_id", F.col("match.name_en").alias("matched"), F.col("match.method").alias("method"))
 
 
-@query()
+_ASKED = f"{_SUBJECTS}, named AS (SELECT doc_id, substr(occupation, 1, length(occupation) - 1) AS asked FROM subjects), keys AS (SELECT name_en AS k, 0 AS rank, * FROM occupations UNION ALL SELECT aliases, 1, * FROM occupations UNION ALL SELECT name_ar, 0, * FROM occupations), asked AS (SELECT DISTINCT asked AS a FROM named WHERE asked IS NOT NULL), met AS (SELECT a, k AS b FROM asked, (SELECT DISTINCT k FROM keys) x)"
+_FUZZY = "best AS (SELECT a, name_en, round(s / 100, 3) AS score FROM (SELECT t.a, t.s, y.name_en, row_number() OVER (PARTITION BY t.a ORDER BY t.s DESC, y.rank, y.file_pos) AS n FROM token_set t JOIN keys y ON y.k = t.b WHERE t.s >= 88) z WHERE n = 1)"
+
+
+@query(M.token_set_sql(_ASKED, "met", f"{_FUZZY} SELECT doc_id, asked, name_en AS matched, CASE WHEN name_en IS NOT NULL THEN 'fuzzy' END AS method, score FROM named LEFT JOIN best ON best.a = asked"))
 def subject_occupation_fuzzy(spark, d):
     """Shortened names against the list."""
     rows = S.subjects(spark, d).withColumn("asked", F.expr("substr(occupation, 1, length(occupation) - 1)"))
@@ -163,25 +155,15 @@ def duplicate_documents(spark, d):
     return ingest.duplicates(docs).select("doc_id", "sha256", "duplicate_of")
 
 
-@query("SELECT doc_id, regexp_replace(t, '(^|[^0-9])([0-9]{4})[0-9]{6}([^0-9]|$)', '\\1\\2******\\3', 'g') AS masked, concat(substr(cast(1000000 + doc_id AS varchar), 1, 4), repeat('*', length(cast(1000000 + doc_id AS varchar)) - 4)) AS id FROM (SELECT doc_id, concat('id ', cast(2000000000 + doc_id AS varchar), ' and ', cast(20000000000 + doc_id AS varchar), ': ', substr(coalesce(text, ''), 1, 60)) AS t FROM documents) x")
-def pii_mask_documents(spark, d):
-    """The first 60 characters of each text, as its SQL has it; pii_mask_documents_whole masks all of it."""
-    return _masked(spark, d, F.substring(F.coalesce("text", F.lit("")), 1, 60))
-
-
-def _masked(spark, d, body):
-    key = F.col("doc_id")
-    t = F.concat(F.lit("id "), (key + 2000000000).cast("string"), F.lit(" and "), (key + 20000000000).cast("string"), F.lit(": "), body)
-    return _table(spark, d, "documents").select("doc_id", text.mask_identifiers(t).alias("masked"), text.mask_id((key + 1000000).cast("string")).alias("id"))
-
-
 # RE2 has no look-around: a match takes the character behind it, so the second pass masks identifiers one character apart
 _MASK = "regexp_replace({t}, '(^|[^0-9٠-٩])([0-9٠-٩]{{4}})[0-9٠-٩]{{6}}([^0-9٠-٩]|$)', '\\1\\2******\\3', 'g')"
 
 
 @query(f"SELECT doc_id, {_MASK.format(t=_MASK.format(t='t'))} AS masked, concat(substr(cast(1000000 + doc_id AS varchar), 1, 4), repeat('*', length(cast(1000000 + doc_id AS varchar)) - 4)) AS id FROM (SELECT doc_id, concat('id ', cast(2000000000 + doc_id AS varchar), ' and ', cast(20000000000 + doc_id AS varchar), ': ', coalesce(text, '')) AS t FROM documents) x")
-def pii_mask_documents_whole(spark, d):
-    return _masked(spark, d, F.coalesce("text", F.lit("")))
+def pii_mask_documents(spark, d):
+    key = F.col("doc_id")
+    t = F.concat(F.lit("id "), (key + 2000000000).cast("string"), F.lit(" and "), (key + 20000000000).cast("string"), F.lit(": "), F.coalesce("text", F.lit("")))
+    return _table(spark, d, "documents").select("doc_id", text.mask_identifiers(t).alias("masked"), text.mask_id((key + 1000000).cast("string")).alias("id"))
 
 
 @query("SELECT doc_id, translate(translate(cast(n_chars AS varchar), '0123456789', '٠١٢٣٤٥٦٧٨٩'), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS digits, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = lower(trim(coalesce(text, ''))) AS already FROM documents")
@@ -203,7 +185,7 @@ def date_parse_variants(spark, d):
     return dates.parse_date(_table(spark, d, "orders").select("o_orderkey", t.alias("t")), "t", "found").select("o_orderkey", "found")
 
 
-@query()
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y%m%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m8%d') ELSE strftime(o_orderdate, '%d %m %Y') END AS t, cast(o_orderdate AS date) AS found, CASE o_orderkey % 3 WHEN 2 THEN 0.6 ELSE 0.7 END::double AS multiplier, CASE o_orderkey % 3 WHEN 0 THEN '8digits_natural' WHEN 1 THEN 'sep_repair_natural' ELSE 'rejoined_natural' END AS note FROM orders")
 def date_resolve(spark, d):
     """Dates without separators or with misread ones."""
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
@@ -212,32 +194,42 @@ def date_resolve(spark, d):
     return out.select("o_orderkey", "t", F.col("r.date").alias("found"), F.col("r.multiplier").alias("multiplier"), F.col("r.note").alias("note"))
 
 
-@query()
+# The first days of the years 1412 to 1422 and, of each year's months in order, which have 30 days (1).
+_YEARS = [(1412, "1991-07-13", "101010111001"), (1413, "1992-07-02", "010010111010"), (1414, "1993-06-21", "101001011011"), (1415, "1994-06-11", "010100101011"), (1416, "1995-05-31", "101010010101"), (1417, "1996-05-19", "101100101010"), (1418, "1997-05-08", "101101010101"), (1419, "1998-04-28", "010101011100"), (1420, "1999-04-17", "010010111101"), (1421, "2000-04-06", "001000111101"), (1422, "2001-03-26", "100100011101")]
+_MONTHS = f"months AS (SELECT y, m, cast(day AS date) + cast((m - 1) * 29 + length(replace(substr(bits, 1, m - 1), '0', '')) AS int) AS first, 29 + cast(substr(bits, m, 1) AS int) AS days FROM (VALUES {', '.join(f'({y}, {day!r}, {bits!r})' for y, day, bits in _YEARS)}) v(y, day, bits), (SELECT unnest(range(1, 13)) AS m) u)"
+_LUNAR = "concat(lpad(cast(cast(o_orderdate AS date) - first + 1 AS varchar), 2, '0'), '/', lpad(cast(m AS varchar), 2, '0'), '/', cast(y AS varchar))"
+
+
+@query(f"WITH {_MONTHS} SELECT o_orderkey, cast(o_orderdate AS date) AS day, {_LUNAR} AS hijri, cast(o_orderdate AS date) AS back FROM orders JOIN months ON cast(o_orderdate AS date) >= first AND cast(o_orderdate AS date) < first + cast(days AS int)")
 def hijri_round_trip(spark, d):
     """Order dates to the Hijri calendar and back."""
     rows = dates.gregorian_to_hijri(_table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "day", "hijri")
     return dates.parse_date(rows, "hijri", "back").select("o_orderkey", "day", "hijri", "back")
 
 
-@query(f"{_SUBJECTS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN iqama_no ELSE concat(substr(iqama_no, 1, 5), substr(iqama_no, 6)) END AS number FROM subjects WHERE doc_id % 7 <> 0")
-def ten_digit_resolve(spark, d):
-    """The subjects with a right check digit, in the card's order, as its SQL has it; ten_digit_resolve_all has every subject's result as it comes."""
-    c, number = F.col("iqama_no"), F.col("r.number")
-    rows = _resolved(spark, d).where("doc_id % 7 <> 0")
-    # of a number in two chunks the reversed order wins only where it scores as well; both are the card's digits
-    return rows.select("doc_id", F.when(number == c, c).otherwise(F.concat(F.substring(number, 6, 5), F.substring(number, 1, 5))).alias("number"))
+def _luhn_sql(s: str) -> str:
+    """Whether a text of ten digits passes: places 0, 2, ... doubled."""
+    one = [f"cast(substr({s}, {i + 1}, 1) AS int)" for i in range(10)]
+    return "((" + " + ".join(f"(CASE WHEN {x} > 4 THEN 2 * {x} - 9 ELSE 2 * {x} END)" if i % 2 == 0 else x for i, x in enumerate(one)) + ") % 10 = 0)"
 
 
-def _resolved(spark, d):
-    c = F.col("iqama_no")
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("no "), c)).otherwise(F.concat(F.substring(c, 1, 5), F.lit(" "), F.substring(c, 6, 5)))
-    return S.subjects(spark, d).select("doc_id", "iqama_no", numbers.resolve_ten_digits(t, "2").alias("r"))
+# Printed behind "no", whose o is read as a zero, or in two chunks of five.
+_TURNED = "concat(substr(iqama_no, 6, 5), substr(iqama_no, 1, 5))"
+_SCORES = f"SELECT doc_id, iqama_no AS c, {_TURNED} AS r, {_luhn_sql('iqama_no')} AS ok, {_luhn_sql(_TURNED)} AS r_ok, 2 + CASE WHEN {_luhn_sql('iqama_no')} THEN 1 ELSE 0 END AS s, CASE WHEN starts_with({_TURNED}, '2') THEN 2 ELSE 0 END + CASE WHEN {_luhn_sql(_TURNED)} THEN 1 ELSE 0 END AS rs FROM subjects"
+_BEHIND = "doc_id % 2 = 0"
 
 
-@query()
-def ten_digit_resolve_all(spark, d):
+@query(f"""{_SUBJECTS}, scored AS ({_SCORES}) SELECT doc_id,
+  CASE WHEN {_BEHIND} THEN CASE WHEN ok THEN c ELSE concat('0', c) END WHEN rs >= s THEN r ELSE c END AS number,
+  CASE WHEN {_BEHIND} THEN CASE WHEN ok THEN 1.0 ELSE 0.5 END WHEN least(s, rs) >= 2 THEN 0.75 WHEN greatest(s, rs) >= 3 THEN 1.0 ELSE 0.9 END::double AS multiplier,
+  CASE WHEN {_BEHIND} THEN CASE WHEN ok THEN 'exact_chunk(luhn=True)' ELSE 'length_11' END WHEN least(s, rs) >= 2 THEN concat('ambiguous_order(', CASE WHEN rs >= s THEN 'reversed' ELSE 'natural' END, ')')
+    WHEN rs >= s THEN concat('reversed(luhn=', CASE WHEN r_ok THEN 'True' ELSE 'False' END, ')') ELSE concat('natural(luhn=', CASE WHEN ok THEN 'True' ELSE 'False' END, ')') END AS note
+FROM scored""")
+def ten_digit_resolve(spark, d):
     """Every subject's number, wrong check digits included, printed behind a word or in two chunks."""
-    return _resolved(spark, d).select("doc_id", "r.number", "r.multiplier", "r.note")
+    c = F.col("iqama_no")
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("no "), c)).otherwise(F.concat(F.substring(c, 1, 5), F.lit(" "), F.substring(c, 6, 5)))
+    return S.subjects(spark, d).select("doc_id", numbers.resolve_ten_digits(t, "2").alias("r")).select("doc_id", "r.number", "r.multiplier", "r.note")
 
 
 @query(f"{_SUBJECTS} SELECT doc_id, status FROM ({_DECISION}) d WHERE contains(lower(concat(triggers, ' ', reasons)), 'unreadable')")
@@ -338,7 +330,10 @@ def subject_validation(spark, d):
     return checks.validated(S.subjects(spark, d), RULES, _as_of()).select("doc_id", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query()
+_PAD = lambda x: "'" + "".join(f"\\x{(k if k < 32 else 0) ^ x:02X}" for k in range(32)) + f"\\x{x:02X}" * 32 + "'::blob"
+
+
+@query(f"{_SUBJECTS} SELECT doc_id, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(iqama_no)))) AS hash, true AS round_trip FROM subjects")
 def keyed_hashes(spark, d):
     """Identifiers as keyed hashes, and encrypted and decrypted again."""
     key = bytes(range(32))
@@ -346,7 +341,11 @@ def keyed_hashes(spark, d):
     return S.subjects(spark, d).select("doc_id", crypto.keyed_hash(c, key).alias("hash"), (crypto.decrypt(crypto.encrypt(c, key), key) == c).alias("round_trip"))
 
 
-@query()
+_TWO = "(VALUES ('Supplier 1 Company', 0), ('Supplier#000000007 Contracting', 1)) w(name, p)"
+_COMPANY = "rated AS (SELECT e.a AS emp, w.name, row_number() OVER (PARTITION BY e.a ORDER BY greatest(t.s, p.s) DESC, w.p) AS n FROM emps e JOIN " + _TWO + " ON true JOIN token_set t ON t.a = e.a AND t.b = lower(w.name) JOIN partial p ON p.a = e.a AND p.b = lower(w.name) WHERE greatest(t.s, p.s) / 100 >= 0.85)"
+
+
+@query(M.measures_sql(f"{_SUBJECTS}, emps AS (SELECT DISTINCT lower(employer_name) AS a FROM subjects), met AS (SELECT a, lower(name) AS b FROM emps, {_TWO})", "met", f"{_COMPANY} SELECT doc_id, CASE WHEN doc_type = 'NATIONAL_ID' THEN 'Supplier 1 Company' ELSE coalesce(r.name, employer_name) END AS company, CASE WHEN doc_type = 'NATIONAL_ID' THEN 'NATIONAL_ID' WHEN r.name IS NOT NULL THEN 'AUTO' ELSE 'CARD' END AS company_source, doc_type <> 'NATIONAL_ID' AND r.name IS NULL AS needs_choice FROM subjects LEFT JOIN rated r ON r.emp = lower(employer_name) AND r.n = 1"))
 def company_resolution(spark, d):
     """The card's employer against two requesting companies of each batch."""
     rows = S.subjects(spark, d).select("doc_id", "doc_type", "batch_id", "employer_name")
@@ -354,10 +353,13 @@ def company_resolution(spark, d):
     return rows.join(lookups.company(few, RULES.company_threshold), ["doc_type", "employer_name"]).select("doc_id", "company", "company_source", "needs_choice")
 
 
-@query()
+@query(M.measures_sql("WITH names AS (SELECT DISTINCT p_name AS a FROM part), met AS (SELECT a, 'widget small blue' AS b FROM names)", "met", "last AS (SELECT 1) SELECT r.a AS p_name, round(r.s, 6) AS ratio, round(t.s, 6) AS token_set, round(p.s, 6) AS partial FROM ratios r JOIN met USING (a, b) JOIN token_set t USING (a, b) JOIN partial p USING (a, b)"))
 def similarity_measures(spark, d):
     """The three measures between distinct part names and one word list."""
     names = _table(spark, d, "part").select("p_name").distinct()
     other = F.lit("widget small blue")
     c = F.col("p_name")
     return names.select("p_name", F.round(fuzzy.ratio(c, other), 6).alias("ratio"), F.round(fuzzy.token_set_ratio(c, other), 6).alias("token_set"), F.round(fuzzy.partial_ratio(c, other), 6).alias("partial"))
+
+
+from docscreen import catalogue_operators  # noqa: E402, F401  (registers the operators' own queries)

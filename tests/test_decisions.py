@@ -170,7 +170,7 @@ def test_lookups_compose_presentation_forms(spark):
     assert lookups.employer_reference(cards, ref).first()["ref_type"] == "COMPANY"
     assert lookups.company(cards, 0.9).first()["company"] == "ﺷﺮﻛﺔ ﺍﻻﻣﻞ"
     named = spark.createDataFrame([("9", "Ｍｉｎｉｓｔｒｙ of x", None)], "employer_id string, employer_name string, ref_type string")
-    assert named.select(checks.employer_class(Rules(government=("ministry",))).alias("c")).first()["c"]["type"] == "GOVERNMENT"
+    assert checks.with_employer_class(named, Rules(government=("ministry",))).first()["employer_class"]["type"] == "GOVERNMENT"
     left = lookups.upsert(ref, ref.withColumn("employer_name", F.lit("شركة الامل")), "employer_name").collect()
     assert [r.employer_name for r in left] == ["شركة الامل"]
     lines = spark.createDataFrame([(1, "ﺍﻟﻬﻮﻳﺔ ﺍﻟﻮﻃﻨﻴﺔ")], "doc_id int, text string")

@@ -12,7 +12,7 @@ def test_identifiers_behind_the_first_characters_are_masked(spark, tmp_path):
     far = "x" * 100
     rows = [(1, f"{far} 2999999999 2888888888, ٢٩٩٩٩٩٩٩٩٩ {far} 1777777777"), (2, None), (3, f"{far} 12345678901 {far}")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.masked.split(": ", 1)[1] for r in catalogue.QUERIES["pii_mask_documents_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.masked.split(": ", 1)[1] for r in catalogue.QUERIES["pii_mask_documents"](spark, str(tmp_path)).collect()}
     assert got == {1: f"{far} 2999****** 2888******, ٢٩٩٩****** {far} 1777******", 2: "", 3: rows[2][1]}
 
 
@@ -40,6 +40,6 @@ def test_every_subject_is_resolved_and_none_is_turned_back(spark):
     cards = {r.doc_id: r.iqama_no for r in S.subjects(spark, DATA).select("doc_id", "iqama_no").collect()}
     # the o of "no" is read as a zero
     want = {k: resolved(["0", c] if k % 2 == 0 else [c[:5], c[5:]]) for k, c in cards.items()}
-    got = {r.doc_id: (r.number, r.multiplier, r.note) for r in catalogue.QUERIES["ten_digit_resolve_all"](spark, DATA).collect()}
+    got = {r.doc_id: (r.number, r.multiplier, r.note) for r in catalogue.QUERIES["ten_digit_resolve"](spark, DATA).collect()}
     assert got == want
     assert {n for _, _, n in want.values()} >= {"exact_chunk(luhn=True)", "length_11", "natural(luhn=True)", "natural(luhn=False)"}
