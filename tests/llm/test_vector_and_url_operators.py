@@ -75,6 +75,30 @@ def test_unlike_vectors_are_hardly_paired(spark):
     assert met.count() < 0.01 * 2000 * 2000 / 2
 
 
+def test_lists_of_large_labels_stay_few():
+    """A vector's rows of lists: some 2,050 at 1.5 million vectors of a label when two sets of directions were combined."""
+    plans = [embedding_dedup.Plan(n, 0.93) for n in (5000, 50_000, 1_500_000, 5_000_000)]
+    assert all(2 * p.share * p.n < 100 for p in plans)
+    assert plans[2].rounds(15_000_000, 15_000_000 * 256) * 256 >= 2 * plans[2].share * plans[2].n * embedding_dedup.ROW
+
+
+def test_rounds_and_parted_lists_find_every_link(spark, monkeypatch):
+    """Pairs at and above the threshold over several rounds, with lists parted by signs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1)[:, None] * x
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    c = rng.uniform(0.9301, 0.95, 1500)[:, None]
+    rows = [(i, [float(v) for v in r], i % 1500 % 2) for i, r in enumerate(np.concatenate([x, 1e200 * (c * x + np.sqrt(1 - c * c) * off)]))]
+    monkeypatch.setattr(embedding_dedup, "ROUND", 1 << 20)
+    plan = embedding_dedup.Plan(1500, 0.93, members=2, directions=600)
+    assert plan.sets == 2 and plan.rounds(3000, 1 << 20) > 3
+    got = {r.vec_id: r for r in embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), members=2, directions=600).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (1, i % 1500) for i in range(3000))
+
+
 SHORT = [(3000 + i, [1.0, 2.0, 0.001 * i], 0) for i in range(3)] + [(3010, [-1.0, 0.5, 0.0], 0), (3011, [1.0, 2.0, 0.0], 1), (3020, [2.0], 1), (3021, [3.0], 1)]
 
 
