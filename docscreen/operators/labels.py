@@ -80,20 +80,32 @@ def ranked_labels(heads: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def anchors(lines: DataFrame, labels: Mapping[str, Sequence[str]], headers: Sequence[str]) -> DataFrame:
-    """Every label found in lines; a line may have several."""
-    spark = lines.sparkSession
-    norm = F.coalesce(text.canonical(F.col("text")), F.lit(""))
+    """Every label found in lines; a line may have several.
+
+    What a line's label is depends on its text and its place alone (searched at all, in the right-hand column or not), so
+    labels are found once for each distinct pair of both and joined to the lines.
+    """
     right = F.col("x") + F.col("w")
-    base = lines.select("doc_id", "line", "text", norm.alias("norm"), (right >= RIGHT * F.col("card_w")).alias("column"), (right >= ZONE * F.col("card_w")).alias("zone"), (F.col("y") + F.col("h") < TOP * F.col("card_h")).alias("top"))
+    searched = F.coalesce((right >= ZONE * F.col("card_w")) & ~(F.col("y") + F.col("h") < TOP * F.col("card_h")), F.lit(False))
+    place = F.when(~searched, 0).when(right >= RIGHT * F.col("card_w"), 2).otherwise(1)
+    keyed = lines.select("doc_id", "line", "text", place.alias("place")).where("text is not null")
+    found = _found(keyed.select("text", "place").distinct(), labels, headers)
     told = ["doc_id", "line", "part", "field", "score", "inline", "until", "ltr"]
-    other = base.where(~text.has_arabic(F.col("norm")))
-    known = other.select("text").where("text is not null").distinct().withColumn("l", latin_label(F.col("text"), labels)).where("l is not null")
-    latin = other.join(known, "text")
-    latin = latin.select("doc_id", "line", F.lit(0).alias("part"), "l.field", "l.score", "l.inline", "l.until", F.lit(True).alias("ltr"))
-    arabic = base.where(text.has_arabic(F.col("norm")) & F.col("zone") & ~F.col("top") & ~is_header(F.col("norm"), headers))
-    words = dictionary(spark, labels)
+    return keyed.join(found, ["text", "place"]).select(told)
+
+
+def _found(texts: DataFrame, labels: Mapping[str, Sequence[str]], headers: Sequence[str]) -> DataFrame:
+    """The labels of distinct (text, place), with part, field, score, inline, until and ltr."""
+    key = ["text", "place"]
+    # explode keeps the conditions on a text's form above distinct(): below it they would be judged for every line
+    forms = texts.withColumn("norm", F.coalesce(text.canonical(F.col("text")), F.lit("")))
+    forms = forms.select(F.explode(F.array(F.struct(*key, "norm", text.has_arabic(F.col("norm")).alias("arabic")))).alias("f")).select("f.*")
+    known = forms.where(~F.col("arabic")).withColumn("l", latin_label(F.col("text"), labels)).where("l is not null")
+    latin = known.select(*key, F.lit(0).alias("part"), "l.field", "l.score", "l.inline", "l.until", F.lit(True).alias("ltr"))
+    arabic = forms.where(F.col("arabic") & (F.col("place") > 0)).where(~is_header(F.col("norm"), headers)).withColumn("column", F.col("place") == 2)
+    words = dictionary(texts.sparkSession, labels)
     split = F.transform(F.split("norm", SEPARATORS), lambda x: F.trim(x))
-    parts = arabic.select("doc_id", "line", "column", split.alias("all"), F.posexplode(split).alias("part", "head"))
+    parts = arabic.select(*key, "column", split.alias("all"), F.posexplode(split).alias("part", "head"))
     before_last = F.col("part") < F.size("all") - 1
     # a head's own label, relaxed in the right-hand column; the next part's, by the strict measure
     asked = parts.where(before_last).select("head", F.lit(False).alias("at_start"), F.col("column").alias("relaxed"))
@@ -106,17 +118,17 @@ def anchors(lines: DataFrame, labels: Mapping[str, Sequence[str]], headers: Sequ
     inner = F.col("part") + 1 < F.size("all") - 1
     heads = heads.withColumn("next", F.get("all", F.col("part") + 1)).join(following, "next", "left")
     own = F.trim(F.when(inner & F.col("cut").isNotNull(), F.left("next", F.col("cut"))).otherwise(F.col("next")))
-    w = Window.partitionBy("doc_id", "line").orderBy("part")
+    w = Window.partitionBy(*key).orderBy("part")
     lead = F.nullif(F.lead(F.trim(F.left("head", F.col("start")))).over(w), F.lit(""))
     until = F.aggregate(F.slice("all", F.lit(1), F.col("part") + 1), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    colon = heads.select("doc_id", "line", "part", "field", "score", F.nullif(F.coalesce(lead, own), F.lit("")).alias("inline"), until.alias("until"), F.lit(False).alias("ltr"))
-    rest = arabic.join(colon.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti")
+    colon = heads.select(*key, "part", "field", "score", F.nullif(F.coalesce(lead, own), F.lit("")).alias("inline"), until.alias("until"), F.lit(False).alias("ltr"))
+    rest = arabic.join(colon.select(*key).distinct(), key, "left_anti")
     rest = rest.withColumnRenamed("norm", "head").join(best.where("at_start").withColumnRenamed("relaxed", "column"), ["head", "column"])
     after = F.regexp_replace(F.substring("head", F.col("end") + 1, F.length("head")), "^[ :;،.]+|[ :;،.]+$", "")
     beside = (F.col("score") >= LEAST) & (F.col("start") <= 2) & (F.length(after) >= 2)
     alone = (F.col("score") >= F.when(F.col("column"), COLUMN).otherwise(PURE)) & (F.col("end") - F.col("start") >= 0.6 * F.length("head"))
-    whole = rest.where(beside | alone).select("doc_id", "line", F.lit(0).alias("part"), "field", "score", F.when(beside, after).alias("inline"), F.when(beside, F.col("end")).alias("until"), F.lit(False).alias("ltr"))
-    return latin.select(told).unionByName(colon.select(told)).unionByName(whole.select(told))
+    whole = rest.where(beside | alone).select(*key, F.lit(0).alias("part"), "field", "score", F.when(beside, after).alias("inline"), F.when(beside, F.col("end")).alias("until"), F.lit(False).alias("ltr"))
+    return latin.unionByName(colon).unionByName(whole)
 
 
 def chosen(found: DataFrame) -> DataFrame:

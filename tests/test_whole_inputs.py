@@ -3,6 +3,7 @@
 import os
 
 from docscreen import catalogue
+from docscreen.operators import labels
 from docscreen.plans import subjects as S
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,3 +44,24 @@ def test_every_subject_is_resolved_and_none_is_turned_back(spark):
     got = {r.doc_id: (r.number, r.multiplier, r.note) for r in catalogue.QUERIES["ten_digit_resolve"](spark, DATA).collect()}
     assert got == want
     assert {n for _, _, n in want.values()} >= {"exact_chunk(luhn=True)", "length_11", "natural(luhn=True)", "natural(luhn=False)"}
+
+
+def _nodes(df):
+    """The nodes of an optimized plan."""
+    open_, out = [df._jdf.queryExecution().optimizedPlan()], []
+    while open_:
+        out.append(open_.pop())
+        open_ += [out[-1].children().apply(i) for i in range(out[-1].children().size())]
+    return out
+
+
+def test_labels_are_judged_once_for_each_text(spark):
+    """Below the distinct texts of lines no label is looked for; a text's labels come to every line of it."""
+    rows = [(i, i % 7, t, x, 300, 290, 20, 0.9, 1000, 600) for i in range(40) for t, x in (("المهنة: مهندس", 700), ("المهنة", 600), ("ID Number: 12", 0), (None, 700))]
+    lines = spark.createDataFrame(rows, "doc_id long, line int, text string, x int, y int, w int, h int, conf double, card_w int, card_h int").where("conf > 0")
+    found = labels.anchors(lines, {"iqama_no": ["ID Number"], "occupation": ["المهنة"]}, ["هويه مقيم"])
+    distinct = [n for n in _nodes(found) if n.nodeName() == "Aggregate" and n.groupingExpressions().size() == 2 and n.output().apply(0).name() == "text" and n.output().apply(1).name() == "place"]
+    lowest = [x for x in (n.child().toString() for n in distinct) if "Generate" not in x]
+    assert lowest and not any("RLIKE" in x or "lambda" in x for x in lowest)
+    got = sorted(((r.doc_id, r.field, r.inline) for r in found.collect()), key=str)
+    assert got == sorted([(i, f, v) for i in range(40) for f, v in (("occupation", "مهندس"), ("iqama_no", "12"), ("occupation", None))], key=str)
