@@ -120,10 +120,15 @@ def repair_separators(df: DataFrame, digits: str, into: str) -> DataFrame:
     return df.withColumn(into, F.coalesce(*found)).drop(*found)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df, its columns worked out here: Spark puts expressions into each other over projections, but not over explode."""
+    return df.select(F.explode(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("__held")).select("__held.*")
+
+
 def resolve_date(df: DataFrame, column: str, into: str) -> DataFrame:
     """df with struct(date, multiplier, note): the first reading that gives a date, from the surest to the least.
 
-    What the readings share is computed below the calendar joins, which keeps it out of the generated code above them.
+    What the readings share is held before they use it, which keeps it out of the generated code above them.
     """
     c = F.col(column)
     chunks = text.digit_chunks(c)
@@ -131,7 +136,7 @@ def resolve_date(df: DataFrame, column: str, into: str) -> DataFrame:
     for how, seq in (("natural", chunks), ("reversed", F.reverse(chunks))):
         s = F.array_join(seq, "")
         own |= {f"__{how}": s, f"__j_{how}": parts(F.array_join(seq, "/"))}
-    df = parse_date(df.withColumns(own), column, "__direct")
+    df = _held(parse_date(_held(df.withColumns(own)), column, "__direct"))
     readings = {}
     for how in ("natural", "reversed"):
         s = F.col(f"__{how}")
@@ -143,7 +148,7 @@ def resolve_date(df: DataFrame, column: str, into: str) -> DataFrame:
             f"__again_{how}": _plausible(gregorian(j["y"], j["m"], j["d"])),
         })
         df = hijri_to_gregorian(df, "__y", "__m", "__d", f"__lunar_{how}").drop("__y", "__m", "__d")
-        df = repair_separators(df, f"__{how}", f"__rep_{how}")
+        df = _held(repair_separators(_held(df), f"__{how}", f"__rep_{how}"))
         n = F.length(s)
         lunar, head = F.col(f"__lunar_{how}"), F.col(f"__head_{how}")
         readings |= {

@@ -33,7 +33,12 @@ def normalised(rows: DataFrame, entries: DataFrame) -> DataFrame:
     prefixes = F.when(f == "employer_id", EMPLOYER_PREFIXES).when(F.col("is_national"), "1").otherwise("2")
     df = df.withColumn("num", F.when(f.isin(*NUMBERS), _number(F.col("raw"), prefixes)))
     df = df.withColumns({"as_date": F.when(f.isin(*DATES), F.col("raw")), "other_date": F.when(f.isin(*DATES), F.col("second")), "as_name": F.when(f == "nationality", F.col("raw"))})
-    df = dates.resolve_date(dates.resolve_date(df, "as_date", "d"), "other_date", "d2")
+    # a card's dates are few: each different text is read once
+    printed = df.select(F.explode(F.array("as_date", "other_date")).alias("printed")).where("printed is not null").distinct()
+    read = dates.resolve_date(printed, "printed", "read")
+    df = df.join(read.withColumnsRenamed({"printed": "__1", "read": "d"}), F.col("as_date") == F.col("__1"), "left").join(read.withColumnsRenamed({"printed": "__2", "read": "d2"}), F.col("other_date") == F.col("__2"), "left")
+    nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit(0.0).alias("multiplier"), F.lit("empty").alias("note"))
+    df = df.withColumn("d", F.coalesce("d", nothing))
     df = lookups.code_of(df, entries, "as_name", "code")
     n, d, d2 = F.col("num"), F.col("d"), F.col("d2.date")
     number_conf = F.round(F.col("base") * F.when(n["number"].isNotNull(), n["m"]).otherwise(0.3), 3)

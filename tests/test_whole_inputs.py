@@ -3,7 +3,7 @@
 import os
 
 from docscreen import catalogue
-from docscreen.operators import labels
+from docscreen.operators import fields, labels
 from docscreen.plans import subjects as S
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -65,3 +65,13 @@ def test_labels_are_judged_once_for_each_text(spark):
     assert lowest and not any("RLIKE" in x or "lambda" in x for x in lowest)
     got = sorted(((r.doc_id, r.field, r.inline) for r in found.collect()), key=str)
     assert got == sorted([(i, f, v) for i in range(40) for f, v in (("occupation", "مهندس"), ("iqama_no", "12"), ("occupation", None))], key=str)
+
+
+def test_dates_are_read_once_for_each_text(spark):
+    """Fields' dates are read from distinct texts, by expressions that aren't put into each other; null dates are empty."""
+    rows = [(i, "expiry_date", d, e, 0.8, 80.0, False) for i in range(30) for d, e in (("2030/01/02", "03/01/2030"), (None, "03/01/2030"), ("", None), ("1447/01/01", None))]
+    entries = spark.createDataFrame([], "code string, name_en string, name_ar string, aliases string, file_pos int")
+    out = fields.normalised(spark.createDataFrame(rows, "doc_id int, field string, raw string, second string, value_conf double, score double, is_national boolean").where("score > 0"), entries)
+    assert any(n.nodeName() == "Aggregate" and n.output().size() == 1 and n.output().apply(0).name() == "printed" for n in _nodes(out))
+    got = sorted({(r.raw or "", r.normalized, r.note) for r in out.collect()}, key=str)
+    assert got == [("", None, "empty"), ("1447/01/01", "2025-06-26", "direct_hijri"), ("2030/01/02", "2030-01-02", "direct xcheck_ok")] and out.count() == 120
