@@ -86,7 +86,11 @@ def node(url: Column) -> Column:
 def unescaped(c: Column) -> Column:
     """An attribute's value with its character references resolved as HTML does: a name without a semicolon stays as it
     is before a letter, a digit or an equals sign."""
-    names = F.from_json(F.lit(_NAMES), "map<string, string>")
+    return _resolved(c, F.from_json(F.lit(_NAMES), "map<string, string>"))
+
+
+def _resolved(c: Column, names: Column) -> Column:
+    """The same, with the names as a column."""
     code = lambda x: F.coalesce(F.when(x.rlike("^&#[0-9]"), F.regexp_extract(x, "([0-9]+)", 1).try_cast("long")).otherwise(F.conv(F.regexp_extract(x, "^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1), 16, 10).try_cast("long")), F.lit(-1))
     valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
     char = lambda n: F.when(valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
@@ -99,13 +103,18 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's node and each node that a canonical link or redirect of it names."""
     every = lambda tag, value: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
     tags = pages.select("url", F.explode(F.concat(every(_LINK, _HREF), every(_META, _URL))).alias("raw")).where("raw <> ''")
+    # names come as a row of a small table: in expressions each use of them would repeat all 2,000 in every plan that the
+    # driver keeps; explode keeps one expression from being put into the next as often as that names it
+    names = pages.sparkSession.createDataFrame([(json.loads(_NAMES),)], "names map<string, string>")
+    tags = tags.join(F.broadcast(names), F.locate("&", "raw") > 0, "left")
     # a url in escaped quotes ends with them
-    tags = tags.select("url", F.trim(F.regexp_replace(unescaped(F.col("raw")), r"""^(["'])(.*?)(?:\1.*)?$""", "$2")).alias("to"))
+    plain = F.trim(F.regexp_replace(_resolved(F.col("raw"), F.col("names")), r"""^(["'])(.*?)(?:\1.*)?$""", "$2"))
+    tags = tags.select("url", F.explode(F.array(plain)).alias("to")).where("to <> ''")
     to = F.col("to")
     scheme, site = F.regexp_extract("url", r"^([^:]*:)//", 1), F.regexp_extract("url", r"^([^:]*://[^/?#]*)", 1)
     folder = F.regexp_extract(F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), F.lit("/")), r"^([^:]*://[^/]*(?:/.*(?=/[^/]*/$))?)", 1)
     full = F.when(F.locate("://", to) > 0, to).when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(folder, F.lit("/"), to))
-    return tags.where("to <> ''").select(node(F.col("url")).alias("a"), node(full).alias("b")).where("a <> b")
+    return tags.select("url", F.explode(F.array(full)).alias("full")).select(node(F.col("url")).alias("a"), node(F.col("full")).alias("b")).where("a <> b")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -212,3 +212,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (None, 3), (7, 7), (103, 101), (500, 103)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 103: 100, 500: 100}
+
+
+def test_plans_of_links_stay_small(spark):
+    """The characters' names aren't repeated in the plans that the driver keeps: 4 MB each before."""
+    pages = spark.createDataFrame([(1, "http://a.org/x", '<link rel="canonical" href="/y&amp;z&eacute;">')], "page_id long, url string, html string")
+    edges = url_filter.alias_edges(pages)
+    assert len(edges._jdf.queryExecution().toString()) < 200_000
+    assert [tuple(r) for r in edges.collect()] == [("http://a.org/x", "http://a.org/y&zé")]
