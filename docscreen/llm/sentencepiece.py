@@ -39,8 +39,9 @@ from pyspark.sql import types as T
 from docscreen.llm import common
 
 MODEL, SPACE = "piece_bpe_32k.model", "▁"
-#: Different words, all words and characters that a batch gathers; characters whose lattice is held at a time.
-BATCH_WORDS, BATCH_ALL, BATCH_CHARS, BLOCK_CHARS = 150_000, 2_000_000, 16 << 20, 150_000
+#: Different words, all words and characters that a batch gathers; words of rows that are returned at a time; characters
+#: whose lattice is held at a time.
+BATCH_WORDS, BATCH_ALL, BATCH_CHARS, TOLD_WORDS, BLOCK_CHARS = 100_000, 1_000_000, 8 << 20, 100_000, 75_000
 ROUNDS = 48
 NEVER = np.iinfo("i4").max
 
@@ -330,11 +331,18 @@ def _encoder(model: str, at: int, names: list[str]):
         for batch in batches:
             own = places[k : k + batch.num_rows]
             k += batch.num_rows
-            w = np.concatenate(own) if own else np.zeros(0, "i4")
-            n = begin[w + 1] - begin[w]
-            flat = ids[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            ends = np.r_[0, np.cumsum(n)][np.cumsum([0, *map(len, own)])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=[*names, "ids"])
+            sizes = np.cumsum([0, *map(len, own)])
+            i = 0
+            while i < len(own):  # ids take many times the bytes of texts: some rows at a time
+                j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + TOLD_WORDS, "right")) - 1)
+                w = np.concatenate(own[i:j])
+                n = begin[w + 1] - begin[w]
+                flat = ids[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                ends = np.r_[0, np.cumsum(n)][sizes[i : j + 1] - sizes[i]]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=[*names, "ids"])
+                i = j
+        pa.default_memory_pool().release_unused()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh():

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -259,3 +260,15 @@ def test_the_last_round_closes_gaps_of_best_fit():
     assert got["bin"].nunique() == 2 and not got["open"].any()
     for _, one in got.sort_values("offset").groupby("bin"):
         assert one["offset"].tolist() == [0, *one["length"].cumsum()[:-1]] and one["length"].sum() <= 10
+
+
+def test_ids_are_returned_in_small_batches(monkeypatch):
+    """A batch of many words comes back in parts, in its order and whole."""
+    monkeypatch.setattr(sentencepiece, "TOLD_WORDS", 50, raising=False)
+    texts = ["a b c " * 30, None, "", "x", "word " * 200, *["some words"] * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    out = list(sentencepiece._encoder(sentencepiece.MODEL, 0, ["text"])(iter([batch])))
+    assert max(sum(len(sentencepiece.words_of(t)) for t in x["text"].to_pylist()) for x in out if x.num_rows > 1) <= 50 and len(out) > 3
+    assert [t for x in out for t in x["text"].to_pylist()] == texts
+    library = sentencepiece.library()
+    assert [i for x in out for i in x["ids"].to_pylist()] == [library.encode(t or "") for t in texts]
