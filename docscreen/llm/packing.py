@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, size: int = SIZE) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.freeing(rows), _PIECES)
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:

@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, name: str = "fp") -> DataFrame:
             fp = np.array([fingerprint(x.as_py()) for x in batch.column(at)], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=names)
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(common.freeing(rows), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def links(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
         groups = here if groups is None else groups.unionByName(here)
         level = level.select("fp", "path")
     dealt = groups.select(F.xxhash64("path", "v").alias("g1"), "g2", "fp").repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2", "fp")
-    return dealt.mapInArrow(_links, "a long, b long")
+    return dealt.mapInArrow(common.freeing(_links), "a long, b long")
 
 
 def classes(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:

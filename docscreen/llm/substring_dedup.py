@@ -170,6 +170,7 @@ def _sender(width: int, buckets: int):
                 if n >= BATCH_WORDS:
                     yield flush(docs, parts)
                     docs, parts, n = [], [], 0
+                    common.given_back()
         if docs:
             yield flush(docs, parts)
 
@@ -191,9 +192,12 @@ def _receiver(bucket: pd.DataFrame) -> pd.DataFrame:
         del packed
         some, later = _later(h, low, doc)
         gone = np.sort(some[later])
+        del h, low, doc, some, later
         of = np.repeat(np.arange(len(sizes)), sizes)[gone]
         for i, j in _stretches(of):
             out.append((names[of[i]], DECIDED, _pack_places(row[gone[i:j]], pos[gone[i:j]])))
+        del row, pos, gone, of
+    common.given_back()
     return pd.DataFrame(out, columns=["slice", "kind", "payload"])
 
 
@@ -222,7 +226,7 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n = common.partitions(docs, TASK_BYTES)
     buckets = max(n, common.input_bytes(docs) // BUCKET_BYTES)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    sent = texts.mapInArrow(_sender(width, buckets), _SENT)
+    sent = texts.mapInArrow(common.freeing(_sender(width, buckets)), _SENT)
     keys = common.even_keys(docs.sparkSession, n)
     sent = sent.withColumn("key", F.get(F.lit(keys), F.col("bucket") % n)).repartition(n, "key")
     told = sent.groupBy("key", "bucket").applyInPandas(_receiver, "slice long, kind int, payload binary")
@@ -263,7 +267,7 @@ def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     both, name = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
-    return both.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return both.mapInArrow(common.freeing(rows), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -284,7 +288,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     both, name = _with_removals(docs, width)
-    return both.mapInArrow(rows, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
+    return both.mapInArrow(common.freeing(rows), T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,14 @@ def test_stages_are_named_in_order_and_empty_tables_pass(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_gives_its_memory_back(monkeypatch):
+    """After its last batch, and only then; the batches are those of the function."""
+    from docscreen.llm import common
+
+    told = []
+    monkeypatch.setattr(common, "given_back", lambda: told.append(True))
+    for i, x in enumerate(common.freeing(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))):
+        assert x == 2 * (i + 1) and not told
+    assert told == [True]
